@@ -51,6 +51,7 @@ def collapse(entries: np.ndarray) -> np.ndarray:
     """Sorted, one entry for each key: the best identifier, the sum of rows."""
     if not len(entries):
         return entries
+    entries = entries.astype(ENTRY, copy=False)  # concatenate() changes the byte order
     entries = entries[np.lexsort([entries[k] for k in reversed(KEYS)])]
     new = np.ones(len(entries), bool)
     new[1:] = np.logical_or.reduce([entries[k][1:] != entries[k][:-1] for k in KEYS])
