@@ -21,7 +21,9 @@ from .common import held_out, slices, texts
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Labelled rows of each label that the fit uses at most.
-SAMPLE = 3000
+SAMPLE = 2000
+#: Features that the fit keeps: those that tell the labels apart best.
+FEATURES = 2048
 #: Characters that are turned into n-grams at once.
 STEP = 1 << 20
 
@@ -51,31 +53,50 @@ def grams(text: str, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     return found
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = BITS, rounds: int = 120, l2: float = 2e-3) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = BITS, rounds: int = 200, features: int = FEATURES, l2: float = 2e-2) -> tuple[np.ndarray, float]:
     """Weight of each feature (times its ratio) and the bias."""
     size = 1 << bits
     if not len(rows) or labels.min() == labels.max():  # nothing to tell apart
         share = float(np.average(labels, weights=weights)) if len(rows) else 0.0
         share = min(max(share, 0.01), 0.99)
         return np.zeros(size), float(np.log(share / (1 - share)))
-    count = np.bincount(np.concatenate(rows), minlength=size)
+    in_label = [np.zeros(size, "i8"), np.zeros(size, "i8")]
+    for r, y in zip(rows, labels):
+        in_label[int(y)][r] += 1
+    count = in_label[0] + in_label[1]
+    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    # the features whose rates differ most between the labels, in standard errors
+    rate = count / n.sum()
+    error = np.sqrt(np.maximum(rate * (1 - rate) * (1 / n[0] + 1 / n[1]), 1e-12))
+    apart = np.where(count >= 2, np.abs(in_label[1] / n[1] - in_label[0] / n[0]) / error, 0)
+    ids = np.sort(np.argsort(-apart, kind="stable")[:features])
+    ids = ids[apart[ids] > 0]
     kept = np.full(size, -1, "i4")
-    ids = np.flatnonzero((count >= 2) & (count < len(rows)))
     kept[ids] = np.arange(len(ids))
     rows = [k[k >= 0] for r in rows for k in (kept[r],)]
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype="i4"), sizes)
-    p = np.bincount(flat, labels[owner], len(ids)) + 1
-    q = np.bincount(flat, 1 - labels[owner], len(ids)) + 1
+    sizes = np.array([len(r) for r in rows])
+    groups, at = [], 0  # rows whose features make about a million
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 20)) + at)
+        groups.append((at, end, np.concatenate(rows[at:end]), np.repeat(np.arange(end - at, dtype="i4"), sizes[at:end])))
+        at = end
+    del rows
+
+    def per_row(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(owner, x[flat], end - at) for at, end, flat, owner in groups])
+
+    def per_feature(x: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(flat, x[at:end][owner], len(ids)) for at, end, flat, owner in groups)
+
+    p, q = per_feature(labels) + 1, per_feature(1 - labels) + 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    scale = ratio.astype("f4")
     w, bias = np.zeros(len(ids)), 0.0
     m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.02
     weights = weights / weights.sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, (scale * w.astype("f4"))[flat], len(rows)) + bias
+        z = per_row(ratio * w) + bias
         g = weights * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        grad = np.bincount(flat, g[owner], len(ids)) * ratio + l2 * w / len(ids) ** 0.5
+        grad = per_feature(g) * ratio + l2 * w / len(ids) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
         fix = (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
