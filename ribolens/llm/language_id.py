@@ -25,7 +25,7 @@ from .common import held_out, slices, texts
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
 #: Documents of each language that the fit uses at most; words that are read of each at most.
-SAMPLE, READ = 300, 400
+SAMPLE, READ = 250, 400
 #: Frequent words of each language in the lexicon.
 LEXICON = 500
 #: Words whose scores a worker remembers; words that one chunk of the forward and backward passes holds.
@@ -33,13 +33,42 @@ KNOWN, CHUNK = 200_000, 32
 UNKNOWN = "und"
 
 
-def features(word: str, lexicon: frozenset[str] = frozenset()) -> list[int]:
-    w = word.lower()[:40]
-    names = [f"p{w[:k]}" for k in range(1, min(4, len(w)) + 1)] + [f"s{w[-k:]}" for k in range(1, min(4, len(w)) + 1)]
-    edged = f"^{w}$"
-    names += {f"g{edged[i : i + n]}" for n in (1, 2, 3) for i in range(len(edged) - n + 1)}
-    names.append("w" + w if w in lexicon else "rare")
-    return sorted({zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names})
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x >> np.uint64(64 - BITS)
+
+
+def features(words: list[str], lexicon: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) of all words at once: n-grams of 1 to 3 characters with the word's edges, prefixes and suffixes of
+    1 to 4, and the word itself if the lexicon has it."""
+    low = [w.lower()[:40] for w in words]
+    sizes = np.array([len(w) for w in low], "i8") + 2
+    starts = np.cumsum(sizes) - sizes
+    c = np.frombuffer("".join([f"^{w}$" for w in low]).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    word = np.repeat(np.arange(len(low)), sizes)
+    of, found = [], []
+
+    def add(which: np.ndarray, h: np.ndarray, salt: int) -> None:
+        of.append(which)
+        found.append(_mix(h + np.uint64(salt << 40)))
+
+    h = c
+    for n in (1, 2, 3):
+        if n > 1:
+            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :]
+        inside = word[n - 1 :] == word[: len(word) - n + 1]
+        add(word[: len(word) - n + 1][inside], h[inside], n)
+    for side, first, step in ((11, starts + 1, 1), (21, starts + sizes - 2, -1)):
+        which, h = np.arange(len(low)), np.zeros(len(low), "u8")
+        for k in range(4):
+            some = sizes[which] - 2 > k
+            which, h = which[some], h[some]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c[first[which] + step * k]
+            add(which, h, side + k)
+    whole = [zlib.crc32(w.encode("utf-8", "replace")) if w in lexicon else 0 for w in low]
+    add(np.arange(len(low)), np.array(whole, "u8"), 31)
+    return np.concatenate(of), np.concatenate(found).astype("i8")
 
 
 class Crf:
@@ -108,13 +137,13 @@ class Crf:
         p = (alpha * beta)[at]
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, sequences: list[list[tuple[str, int]]], epochs: int = 6, batch: int = 128, rate: float = 0.3, seed: int = 7) -> Crf:
+    def fit(self, sequences: list[list[tuple[str, int]]], epochs: int = 3, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Crf:
         """Adagrad on the log-likelihood of labelled sequences of at most CHUNK words."""
-        n, cache = len(self.labels), {}
-        for s in sequences:
-            for w, _ in s:
-                if w not in cache:
-                    cache[w] = np.array(features(w, self.lexicon))
+        n = len(self.labels)
+        known = list(dict.fromkeys(w for s in sequences for w, _ in s))
+        which, ids = features(known, self.lexicon)
+        ids = ids[np.argsort(which, kind="stable")]
+        cache = dict(zip(known, np.split(ids, np.cumsum(np.bincount(which, minlength=len(known)))[:-1])))
         sum_e, sum_t, order = np.full_like(self.emission, 1e-2), np.full_like(self.transition, 1.0), random.Random(seed)
         for _ in range(epochs):
             order.shuffle(sequences)
@@ -153,20 +182,41 @@ class Crf:
         return self
 
 
-class Scores(dict):
-    """A word's scores for each label; kept for up to KNOWN words."""
+class Scores:
+    """Words' scores for each label; remembered for up to KNOWN words."""
 
     def __init__(self, crf: Crf):
-        super().__init__()
-        self.crf = crf
+        self.crf, self.place, self.rows = crf, {}, np.zeros((0, len(crf.labels)))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        new = list({w for w in words if w not in self.place})
+        if len(self.place) + len(new) > KNOWN:
+            self.place, self.rows, new = {}, self.rows[:0], list(set(words))
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            which, ids = features(new, self.crf.lexicon)
+            rows = [np.bincount(which, self.crf.emission[ids, k], len(new)) for k in range(len(self.crf.labels))]
+            self.rows = np.concatenate([self.rows, np.stack(rows, 1)])
+        return self.rows[np.fromiter(map(self.place.__getitem__, words), "i8", len(words))]
+
+
+class Judge:
+    """Language and score of texts, by a trained field or, without one, by none."""
 
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        if len(self) >= KNOWN:
-            self.clear()
-        found = self.crf.emission[features(word, self.crf.lexicon)].sum(0, dtype="f8")
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    def __init__(self, model: Crf | None):
+        self.model, self.scores = model, Scores(model) if model else None
+
+    def __call__(self, some: list[str]) -> tuple[list[str], list[float]]:
+        lang, score = [UNKNOWN] * len(some), [0.0] * len(some)
+        words = [WORD.findall(t) if self.model else [] for t in some]
+        lengths = np.array([len(w) for w in words], "i8")
+        if lengths.sum():
+            p = self.model.marginals(self.scores([x for w in words for x in w]), lengths)
+            full = np.flatnonzero(lengths)
+            sums = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[full], axis=0) / lengths[full][:, None]
+            for i, s in zip(full, sums):
+                lang[i], score[i] = self.model.labels[int(s.argmax())], min(1.0, float(s.max()))
+        return lang, score
 
 
 def sequences(samples: list[tuple[str, int]], n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
@@ -222,19 +272,23 @@ def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = S
     held = docs.sparkSession.sparkContext.broadcast(crf)  # 2 ** BITS numbers a label, LEXICON words a label
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        known = Scores(model) if model else {}
+        judge = Judge(held.value)
         for batch in slices(batches, 256):
-            lang, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
-            words = [WORD.findall(t) if model else [] for t in texts(batch["text"])]
-            lengths = np.array([len(w) for w in words], int)
-            if lengths.sum():
-                p = model.marginals(np.array([known[x] for w in words for x in w]), lengths)
-                full = np.flatnonzero(lengths)
-                sums = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[full], axis=0) / lengths[full][:, None]
-                for i, s in zip(full, sums):
-                    lang[i], score[i] = model.labels[int(s.argmax())], min(1.0, float(s.max()))
+            lang, score = judge(texts(batch["text"]))
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, minimum: float, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language of at least ``minimum`` mean probability."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(held.value)
+        for batch in slices(batches, 256):
+            lang, score = judge(texts(batch["text"]))
+            yield batch.filter(pa.array([k != UNKNOWN and s >= minimum for k, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
