@@ -1,15 +1,58 @@
-"""Corpus pipeline: language ID, exact dedup, near-duplicate join, decontamination, packing."""
+"""Corpus pipeline: language ID, exact dedup, near-duplicate join, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows are
+told apart by doc_id; a row with a null doc_id passes the stages that compare documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ribolens.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
+from ribolens.llm.common import materialize
+from ribolens.llm.queries import vocabulary
+
+#: A document without a language of at least this mean probability is rejected.
+LEAST_PROBABILITY = 0.35
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no learned language, go."""
+    return language_id.accepted(docs, LEAST_PROBABILITY)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    dropped = exact_dedup.exact_groups(docs).filter("not kept").select("doc_id")
+    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are joined by links of at least 0.9, the one with the smallest doc_id stays."""
+    dropped = ngram_join.similar_groups(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    dropped = decontaminate.contamination(docs, items).filter("size(hits) > 0").select("doc_id")
+    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", benchmark), ("packing", packed)]
+#: The language stage is a trained model, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs
