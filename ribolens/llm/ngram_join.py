@@ -9,17 +9,17 @@ share min(l, l') prefix shingles and pass the length and position bounds before
 Only components are asked for, so pairs inside a group are not all made. Equal sets are one node, named by a 64-bit
 hash. First each list's most central node is compared with the others of its list, and what links becomes a component;
 then only pairs of different components are made, between the nodes outside a list's largest component and all of the
-list.
+list; these are all the pairs that can still join components, so the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,38 +29,98 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 90
 #: The longest l, and the shingles whose frequency is broadcast for the order (the most frequent ones).
-MOST, FREQUENT = 4, 1 << 17
+MOST, FREQUENT = 6, 1 << 17
+FEWER = 4
 #: Rows of a partition in which a shingle must occur for the partition to report it.
 REPORT = 3
 #: Bits of the filter that spares unlinked documents the second reading.
 FILTER_BITS = 1 << 24
-KNOWN = 500_000
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHash()
-
-
-def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle, one without words has none."""
-    words = text.lower().split()  # splits at \\x20 and \\x09-\\x0D alone, lower-cases A-Z alone
-    if not words:
-        return np.zeros(0, "u8")
-    h = np.fromiter(map(HASHES.__getitem__, words), "u8", len(words))
-    n = min(n, len(h))
-    out = np.full(len(h) - n + 1, np.uint64(n))
+#: Space, and tab to carriage return.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STEP = 0x9E3779B97F4A7C55
+_BACK = pow(_STEP, -1, 1 << 64)
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_STEP ** i and its inverse, modulo 2 ** 64."""
+    out = []
+    for step in (_STEP, _BACK):
+        p = np.full(2 * PIECE, np.uint64(step))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of lower-cased bytes, up to 2 * PIECE of them: polynomials from prefix sums."""
+    up, down = _powers()
+    b = np.frombuffer(blob, "u1")
+    space = np.concatenate(([True], _SPACE[b], [True]))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    run = np.zeros(len(b) + 1, "u8")
+    np.cumsum((b.astype("u8") + np.uint64(1)) * up[: len(b)], out=run[1:])
+    return _mix((run[end] - run[start]) * down[start] + (end - start).astype("u8")), start
+
+
+def _long(text: bytes) -> np.ndarray:
+    """word_hashes() of a text of any length, piece by piece; only a word longer than a piece is hashed in parts."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and end < at + 2 * PIECE and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        out.append(word_hashes(text[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, "u8")
+
+
+def _sets_of(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct shingles of a text's word hashes."""
+    if not len(words):
+        return words
+    n = min(n, len(words))
+    out = np.full(len(words) - n + 1, np.uint64(n))
     for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The set of each text: sorted distinct 64-bit hashes of its shingles. A text of fewer words is one shingle, one
+    without words has none. Bytes are lower-cased for A-Z alone."""
+    out: list[np.ndarray] = []
+    some, size = [], 0
+
+    def run() -> None:
+        words, start = word_hashes(b"\n".join(some))
+        ends = np.cumsum([len(t) + 1 for t in some])
+        out.extend(map(_sets_of, np.split(words, np.searchsorted(start, ends[:-1]))))
+
+    for t in map(bytes.lower, texts):
+        if size + len(t) >= PIECE and some:
+            run()
+            some, size = [], 0
+        if len(t) >= PIECE:
+            out.append(_sets_of(_long(t)))
+        else:
+            some.append(t)
+            size += len(t) + 1
+    if some:
+        run()
+    return out
 
 
 def node_of(s: np.ndarray) -> int:
@@ -75,19 +135,23 @@ def needed(n: int, percent: int = PERCENT) -> int:
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The set's first shingles in the global order, and l. ``frequent``: sorted shingles, ``rank``: their frequency.
 
-    l, up to MOST, is the one of least estimated cost: the lists of the prefix are read, and a candidate for each l
-    entries of them is verified at a cost that grows with the set.
+    l, up to MOST, is the one of least estimated cost: the entries of the prefix's lists are read, and those that come
+    back often enough are verified at a cost that grows with the set; each further match leaves about a FEWER-th of them.
     """
     n = len(s)
+    least = needed(n, percent)
     weight = np.zeros(n, "i8")
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         weight = np.where(frequent[at] == s, rank[at], 0)
-    order = np.lexsort((s, weight))
-    least = needed(n, percent)
+    rare = np.flatnonzero(weight == 0)
     ls = np.arange(1, min(MOST, least) + 1)
-    read = np.cumsum(weight[order])[n - least + ls - 1]
-    l = int(ls[np.argmin(read + n / 8 * read / ls)])
+    if len(rare) >= n - least + ls[-1]:
+        order, read = rare, n - least + ls
+    else:
+        order = np.argsort(weight, kind="stable")
+        read = np.cumsum(weight[order] + 1)[n - least + ls - 1]
+    l = int(ls[np.argmin(read * (1 + n / 8 / FEWER ** (ls - 1.0)))])
     return s[order[: n - least + l]], l
 
 
@@ -104,8 +168,7 @@ def frequent_shingles(docs: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray
             return pa.record_batch({"h": pa.array(found[kept].view("i8")), "n": pa.array(n[kept].astype("i8"))})
 
         for batch in slices(batches):
-            for t in raw(batch["text"]):
-                s = shingles(t)
+            for s in shingle_sets(raw(batch["text"])):
                 held.append(s)
                 size += len(s)
                 if size >= 1 << 22:
@@ -127,8 +190,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: i
         frequent, rank = held.value
         for batch in slices(batches):
             n, node, ls, ps = [], [], [], []
-            for t in raw(batch["text"]):
-                s = shingles(t)
+            for s in shingle_sets(raw(batch["text"])):
                 p, l = prefix(s, frequent, rank, percent) if len(s) else (s, 0)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
@@ -163,7 +225,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in slices(batches):
             at = batch["at"].to_numpy()
             some = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype("u1")) & 1).astype(bool)))
-            sets = [s for s in map(shingles, raw(some["text"])) if len(s)]
+            sets = [s for s in shingle_sets(raw(some["text"])) if len(s)]
             yield pa.record_batch({"node": pa.array(list(map(node_of, sets)), pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     packed = docs.select("at", "text").mapInArrow(work, "node long, shingles binary")
@@ -207,17 +269,21 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def links(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """a, b: links between nodes that join all that are connected. ``found``: describe()'s table."""
     held = lists(found)
-    nodes = held.select("node").distinct()
-    named = found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at")).join(nodes, "node", "left_semi")
-    sets = materialize(_sets(docs, materialize(named, "named")), "sets")
+    named = materialize(found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at")), "named")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = materialize(_sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted")), "sets")
+        return materialize(_verify(pairs, sets, percent), "linked")
 
     # the centre of a list: the node with the fewest shingles of its own before the shared one
-    centre = held.groupBy("token").agg(F.min(F.struct("i", "n", "node", "k")).alias("c")).select("token", "c.*")
-    near = held.alias("a").join(materialize(centre, "centres").alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))
-    stars = materialize(_pair(near).distinct(), "stars")
-    linked = materialize(_verify(stars, sets, percent), "linked")
+    centre = materialize(held.groupBy("token").agg(F.min(F.struct("i", "n", "node", "k", "l")).alias("c")).select("token", "c.*"), "centres")
+    near = held.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))
+    stars = materialize(_enough(near), "stars")
+    first = linked(stars)
 
-    joined = nodes.join(components(linked), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = held.select("node").distinct()
+    joined = nodes.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     now = held.join(materialize(joined, "joined"), "node")
     counts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
@@ -230,13 +296,14 @@ def links(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         & ((F.col("a.component") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
         & _may_link("a", "b", percent),
     )
-    pairs = _pair(pairs, F.least("a.l", "b.l").alias("l")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("l").alias("l"))
-    pairs = pairs.filter("shared >= l").select("a", "b").join(stars, ["a", "b"], "left_anti")
-    return linked.unionByName(materialize(_verify(materialize(pairs, "pairs"), sets, percent), "linked"))
+    pairs = materialize(_enough(pairs).join(stars, ["a", "b"], "left_anti"), "pairs")
+    return first if pairs.isEmpty() else first.unionByName(linked(pairs))
 
 
-def _pair(joined: DataFrame, *more: Column) -> DataFrame:
-    return joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), *more)
+def _enough(joined: DataFrame) -> DataFrame:
+    """a, b: the pairs that share as many prefix shingles as the smaller of both documents' l."""
+    pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), F.least("a.l", "b.l").alias("l"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("l").alias("l")).filter("shared >= l").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
