@@ -14,6 +14,8 @@ from ribolens.llm.queries import vocabulary
 
 #: A document without a language of at least this mean probability is rejected.
 LEAST_PROBABILITY = 0.35
+#: Two documents link at this Jaccard similarity (in percent) of their shingles of so many words.
+NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are joined by links of at least 0.9, the one with the smallest doc_id stays."""
-    dropped = ngram_join.similar_groups(docs).filter("component_id <> doc_id").select("doc_id")
+    """Of documents that are joined by links, the one with the smallest doc_id stays."""
+    dropped = ngram_join.similar_groups(docs, NEAR_PERCENT, NEAR_SHINGLE).filter("component_id <> doc_id").select("doc_id")
     return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
 
 

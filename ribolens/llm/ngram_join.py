@@ -98,23 +98,23 @@ def _sets_of(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The set of each text: sorted distinct 64-bit hashes of its shingles. A text of fewer words is one shingle, one
-    without words has none. Bytes are lower-cased for A-Z alone."""
+def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+    """The set of each text: sorted distinct 64-bit hashes of its runs of ``n`` words. A text of fewer words is one
+    shingle, one without words has none. Bytes are lower-cased for A-Z alone."""
     out: list[np.ndarray] = []
     some, size = [], 0
 
     def run() -> None:
         words, start = word_hashes(b"\n".join(some))
         ends = np.cumsum([len(t) + 1 for t in some])
-        out.extend(map(_sets_of, np.split(words, np.searchsorted(start, ends[:-1]))))
+        out.extend(_sets_of(w, n) for w in np.split(words, np.searchsorted(start, ends[:-1])))
 
     for t in map(bytes.lower, texts):
         if size + len(t) >= PIECE and some:
             run()
             some, size = [], 0
         if len(t) >= PIECE:
-            out.append(_sets_of(_long(t)))
+            out.append(_sets_of(_long(t), n))
         else:
             some.append(t)
             size += len(t) + 1
@@ -155,7 +155,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int)
     return s[order[: n - least + l]], l
 
 
-def frequent_shingles(docs: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, top: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``top`` most frequent shingles and their counts. Every partition counts all its rows and reports what occurs
     REPORT times; this decides the order alone, never the result."""
 
@@ -168,7 +168,7 @@ def frequent_shingles(docs: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray
             return pa.record_batch({"h": pa.array(found[kept].view("i8")), "n": pa.array(n[kept].astype("i8"))})
 
         for batch in slices(batches):
-            for s in shingle_sets(raw(batch["text"])):
+            for s in shingle_sets(raw(batch["text"]), shingle):
                 held.append(s)
                 size += len(s)
                 if size >= 1 << 22:
@@ -183,14 +183,14 @@ def frequent_shingles(docs: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray
     return np.ascontiguousarray(h[order]), np.ascontiguousarray(n[order])
 
 
-def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: int) -> DataFrame:
+def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: int, shingle: int) -> DataFrame:
     """doc_id, at (a hash of doc_id), n, node (a hash of the set; null if empty), l, prefix of each row."""
     held = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # at most FREQUENT shingles
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = held.value
         for batch in slices(batches):
             n, node, ls, ps = [], [], [], []
-            for s in shingle_sets(raw(batch["text"])):
+            for s in shingle_sets(raw(batch["text"]), shingle):
                 p, l = prefix(s, frequent, rank, percent) if len(s) else (s, 0)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
@@ -208,7 +208,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: i
     return docs.mapInArrow(work, "doc_id long, at long, n long, node long, l int, prefix array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node, shingles (packed) of the nodes in ``nodes`` (at, node), read from the texts once more.
 
     A bit filter of fixed size over the rows that name a node spares most of the others.
@@ -225,7 +225,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in slices(batches):
             at = batch["at"].to_numpy()
             some = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype("u1")) & 1).astype(bool)))
-            sets = [s for s in shingle_sets(raw(some["text"])) if len(s)]
+            sets = [s for s in shingle_sets(raw(some["text"]), shingle) if len(s)]
             yield pa.record_batch({"node": pa.array(list(map(node_of, sets)), pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     packed = docs.select("at", "text").mapInArrow(work, "node long, shingles binary")
@@ -266,14 +266,14 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * overlap >= percent * (na + nb))
 
 
-def links(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int) -> DataFrame:
     """a, b: links between nodes that join all that are connected. ``found``: describe()'s table."""
     held = lists(found)
     named = materialize(found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at")), "named")
 
     def linked(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(_sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted")), "sets")
+        sets = materialize(_sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted"), shingle), "sets")
         return materialize(_verify(pairs, sets, percent), "linked")
 
     # the centre of a list: the node with the fewest shingles of its own before the shared one
@@ -306,19 +306,19 @@ def _enough(joined: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("l").alias("l")).filter("shared >= l").select("a", "b")
 
 
-def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, or its own).
 
-    Words are split at white space after lower-casing A-Z; a set holds the distinct runs of three words, or the whole
-    sequence of fewer. Rows link when 100 * intersection >= percent * union. A null or empty text, or one without words,
+    Words are split at white space after lower-casing A-Z; a set holds the distinct runs of ``shingle`` words, or the
+    whole sequence of fewer. Rows link when 100 * intersection >= percent * union. A null or empty text, or one without words,
     has an empty set, links with nothing and is its own component. Rows that repeat a doc_id are rows of their own; a null
     doc_id is never a component's name unless all its rows have none. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    frequent, rank = frequent_shingles(docs, FREQUENT)
-    found = materialize(describe(docs, frequent, rank, percent), "described")
-    labels = components(links(docs, found, percent))
+    frequent, rank = frequent_shingles(docs, FREQUENT, shingle)
+    found = materialize(describe(docs, frequent, rank, percent, shingle), "described")
+    labels = components(links(docs, found, percent, shingle))
     named = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = named.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     joined = materialize(joined, "named")

@@ -50,7 +50,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             want = set(best.values())
             assert 2 not in want and 7 not in want
         elif k == 2:
-            want = {i for i, _, c in groups(before) if i == c}
+            want = {i for i, _, c in groups(before, 80, 5) if i == c}
         else:
             want = {r[0] for r in brute(before, [(1, item)]) if not r[5]}
             assert 202 not in want

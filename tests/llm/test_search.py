@@ -50,13 +50,13 @@ def test_contamination_of_nothing(spark, make):
     assert decontaminate.contamination(make([]), none).count() == 0
 
 
-def shingles(t):
+def shingles(t, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def groups(docs, percent=90):
-    sets = [shingles(t) for _, t in docs]
+def groups(docs, percent=90, n=3):
+    sets = [shingles(t, n) for _, t in docs]
     parent = list(range(len(docs)))
 
     def root(i):
@@ -75,7 +75,8 @@ def groups(docs, percent=90):
     return sorted(((d, len(sets[i]), named(i, d)) for i, (d, _) in enumerate(docs)), key=str)
 
 
-def test_join(make, odd):
+@pytest.mark.parametrize("percent, n", [(90, 3), (80, 5)])
+def test_join(make, odd, percent, n):
     dice = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
     docs = list(odd)
@@ -88,8 +89,8 @@ def test_join(make, odd):
             docs.append((1000 + g * 100 + k, " ".join(w)))
     shared = " ".join(dice.choices(vocabulary, k=60))
     docs += [(5000 + k, f"{shared} {' '.join(dice.choices(vocabulary, k=dice.randint(0, 40)))}") for k in range(60)]
-    got = ngram_join.similar_groups(make(docs)).collect()
-    assert sorted(map(tuple, got), key=str) == groups(docs)
+    got = ngram_join.similar_groups(make(docs), percent, n).collect()
+    assert sorted(map(tuple, got), key=str) == groups(docs, percent, n)
 
 
 def test_join_of_nothing(make):
