@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kmers, sequence
-from ..operators import evaluate, extract, hits, joins, model, orf
+from ..operators import evaluate, extract, hits, homology, joins, model, orf
 from ..schemas import HIT_FEATURES, NO_HITS, TRIMERS
 from ..sources import fasta, tables
 
@@ -419,6 +419,39 @@ def fasta_roundtrip(spark, sf_dir):
     return fasta.read_fasta(spark, path).select("seq_id", "seq", F.col("seq_len").cast("long").alias("seq_len"))
 
 
+@query("SELECT 'D' || doc_id AS seq_id, toxic AS prediction, round((toxic * 2 + 1) / 4.0::DOUBLE, 6) AS p_coding, round(1 - (toxic * 2 + 1) / 4.0::DOUBLE, 6) AS p_noncoding FROM labels")
+def prediction_roundtrip(spark, sf_dir):
+    """Written as a prediction table, read back."""
+    path = scratch(spark, "predictions")
+    p = (F.col("toxic") * 2 + 1) / 4.0
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("D"), "doc_id").alias("seq_id"), F.col("toxic").alias("prediction"), p.alias("p_coding"), (1 - p).alias("p_noncoding"))
+    tables.write_predictions(rows, path)
+    return rounded(tables.read_predictions(spark, path), "p_coding", "p_noncoding")
+
+
+@query(f"WITH {HITS}, {HIT_SQL} SELECT CAST(seq_id AS VARCHAR) AS seq_id, * EXCLUDE (seq_id) FROM hf")
+def hit_table_scan(spark, sf_dir):
+    """Hits written as a table of ten columns, with one malformed line, read back and summed up."""
+    path = scratch(spark, "hits")
+    columns = ["qseqid", "sseqid", F.lit(90.0), "evalue", F.lit(50.0), "qcovhsp", F.lit(1.0), "bitscore", "qframe", F.lit(1)]
+    lines = hit_rows(spark, sf_dir).select(F.concat_ws("\t", *columns).alias("value")).unionByName(spark.range(1).select(F.lit("malformed line").alias("value")))
+    lines.write.text(path)
+    out = rounded(hits.hit_features(tables.good_hits(tables.read_hits(spark, path))), "all_HitScore", "all_Frame_Entropy")
+    return out.withColumn("all_Bitscore", F.round("all_Bitscore", 4))
+
+
+@query(
+    f"""WITH {SEQS}, b AS (SELECT doc_id, seq AS s, 1 AS way FROM seqs UNION ALL SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')), -1 FROM seqs),
+c AS (SELECT doc_id, way * (1 + (i - 1) % 3) AS qframe, i, substr(s, i, 3) AS t FROM (SELECT doc_id, s, way, unnest(range(1, length(s) - 1)) AS i FROM b)),
+r AS (SELECT doc_id, qframe, string_agg(substr('{homology.RESIDUES}', CAST((strpos('TCAG', t[1]) - 1) * 16 + (strpos('TCAG', t[2]) - 1) * 4 + strpos('TCAG', t[3]) AS BIGINT), 1), '' ORDER BY i) AS p FROM c GROUP BY doc_id, qframe)
+SELECT x.doc_id, f AS qframe, length(coalesce(p, '')) AS n_residues, md5(coalesce(p, '')) AS protein_md5
+FROM (SELECT doc_id, unnest([1, 2, 3, -1, -2, -3]) AS f FROM seqs) x LEFT JOIN r ON r.doc_id = x.doc_id AND r.qframe = f"""
+)
+def six_frame_translation(spark, sf_dir):
+    out = homology.six_frames(seqs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("seq_id"), "seq"))
+    return out.select(F.col("seq_id").cast("long").alias("doc_id"), "qframe", F.length("protein").cast("long").alias("n_residues"), F.md5("protein").alias("protein_md5"))
+
+
 @query()
 def rf_predict(spark, sf_dir):
     """A small forest on the trimers of labelled documents, scored on all documents."""
