@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallel, raw
+from .common import materialize, parallel, raw, slices
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 #: Words of a chunk, and entries of a hash range, at which another one begins.
-CHUNK, RANGE = 1 << 21, 1 << 22
+CHUNK, RANGE = 1 << 20, 1 << 21
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -77,7 +77,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
             })
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, t in zip(batch["doc_id"].to_pylist(), raw(batch["text"])):
                 found = WORD.findall(t.lower())
                 add = local.setdefault
@@ -107,7 +107,7 @@ def _range(h: np.ndarray, n: int) -> np.ndarray:
 
 def _ask(n_ranges: int, order: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 words, lengths = _unpack(row)
                 h, n = np.unique(np.concatenate([g for _, g in grams(words, lengths, order)]), return_counts=True)
@@ -196,8 +196,7 @@ def score(docs: DataFrame, order: int = ORDER, rate: float = BACKOFF, min_count:
                 raise ValueError("a chunk's counts are not those it asked for")
             value = backoff(found, [sums[np.searchsorted(all_, g)].astype("f8") for _, g in found], total, n_words, rate, min_count)
         ends = np.cumsum(lengths)
-        run = np.append(0.0, np.cumsum(value))
-        sums_ = np.array([value[e - n : e].sum() for e, n in zip(ends, lengths)]) if len(lengths) < 1 << 22 else run[ends] - run[ends - lengths]
+        sums_ = np.array([value[e - n : e].sum() for e, n in zip(ends, lengths)])
         some = lengths > 0
         return pa.table({
             "doc_id": pa.array(row["ids"], pa.int64()),
