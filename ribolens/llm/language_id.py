@@ -24,12 +24,13 @@ from .common import held_out, slices, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
-#: Documents of each language that the fit uses at most; words that are read of each at most.
+#: Documents of each language that the fit uses at most; about as many words of each, in pieces spread over its text.
 SAMPLE, READ = 250, 400
 #: Frequent words of each language in the lexicon.
 LEXICON = 500
-#: Words whose scores a worker remembers; words that one chunk of the forward and backward passes holds.
-KNOWN, CHUNK = 200_000, 32
+#: Words whose scores a task remembers; words of a chunk of the forward and backward passes; words that are labelled at
+#: once, if they are of more than one text.
+KNOWN, CHUNK, AT_ONCE = 100_000, 32, 1 << 16
 UNKNOWN = "und"
 
 
@@ -82,8 +83,10 @@ class Crf:
     def __getstate__(self):
         return {"labels": self.labels, "lexicon": self.lexicon, "emission": self.emission.astype("f4"), "transition": self.transition}
 
-    def passes(self, e: np.ndarray, valid: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward and backward vectors of every word, and the chunk's first vector. ``e``: exp scores (chunk, word, label).
+    def passes(self, e: np.ndarray, valid: np.ndarray, starts: np.ndarray, before=None, after=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward vectors of every word, and the product over each chunk. ``e``: exp scores (chunk, word, label).
+
+        ``before`` and ``after``: the vectors at the sequences' ends, where they are parts of a longer one.
 
         Rows of ``e`` are chunks, those of a sequence one after the other; ``starts`` marks each sequence's first. A chunk's
         product of transition matrices carries a sequence over it, so that all chunks are run at once.
@@ -100,6 +103,8 @@ class Crf:
         first, last = np.flatnonzero(starts), np.append(np.flatnonzero(starts)[1:], c) - 1
         length = last - first + 1
         into, out = np.full((c, n), 1 / n), np.full((c, n), 1 / n)
+        if before is not None:
+            into[first], out[last] = before, after
         for k in range(1, int(length.max(initial=0))):
             at = first[length > k] + k
             a = np.einsum("ci,cij->cj", into[at - 1], over[at - 1])
@@ -119,24 +124,38 @@ class Crf:
             beta[v, i] = b[v]
             new = (e[v, i] * b[v]) @ t.T
             b[v] = new / new.sum(1, keepdims=True)
-        return alpha, beta, into
+        return alpha, beta, over
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Label probabilities (word, label) of sequences whose words' scores follow each other."""
+    def _chunks(self, scores: np.ndarray, lengths: np.ndarray):
+        """exp scores (chunk, word, label), which are there, which chunks are first, and each word's place."""
         n_chunks = -(-lengths // CHUNK)
+        ahead = np.cumsum(n_chunks) - n_chunks
         starts = np.zeros(int(n_chunks.sum()), bool)
-        starts[(np.cumsum(n_chunks) - n_chunks)[lengths > 0]] = True
-        chunk = np.repeat((np.cumsum(n_chunks) - n_chunks), lengths)
+        starts[ahead[lengths > 0]] = True
         place = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = (chunk + place // CHUNK, place % CHUNK)
+        at = (np.repeat(ahead, lengths) + place // CHUNK, place % CHUNK)
         e = np.ones((len(starts), CHUNK, scores.shape[1]))
         valid = np.zeros(e.shape[:2], bool)
         e[at] = np.exp(scores - scores.max(1, keepdims=True)) + 1e-12
         valid[at] = True
-        alpha, beta, _ = self.passes(e, valid, starts)
+        return e, valid, starts, at
+
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray, before=None, after=None) -> np.ndarray:
+        """Label probabilities (word, label) of sequences whose words' scores follow each other."""
+        e, valid, starts, at = self._chunks(scores, lengths)
+        alpha, beta, _ = self.passes(e, valid, starts, before, after)
         p = (alpha * beta)[at]
         return p / p.sum(1, keepdims=True)
 
+    def over(self, scores: np.ndarray) -> np.ndarray:
+        """The product of the transition matrices over one part of a sequence, up to a factor."""
+        e, valid, starts, _ = self._chunks(scores, np.array([len(scores)]))
+        out = np.eye(scores.shape[1])
+        for m in self.passes(e, valid, starts)[2]:
+            out = out @ m
+            out /= out.sum()
+        return out
+
     def fit(self, sequences: list[list[tuple[str, int]]], epochs: int = 3, batch: int = 128, rate: float = 0.05, seed: int = 7) -> Crf:
         """Adagrad on the log-likelihood of labelled sequences of at most CHUNK words."""
         n = len(self.labels)
@@ -208,24 +227,71 @@ class Judge:
 
     def __call__(self, some: list[str]) -> tuple[list[str], list[float]]:
         lang, score = [UNKNOWN] * len(some), [0.0] * len(some)
-        words = [WORD.findall(t) if self.model else [] for t in some]
-        lengths = np.array([len(w) for w in words], "i8")
-        if lengths.sum():
-            p = self.model.marginals(self.scores([x for w in words for x in w]), lengths)
-            full = np.flatnonzero(lengths)
-            sums = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[full], axis=0) / lengths[full][:, None]
-            for i, s in zip(full, sums):
-                lang[i], score[i] = self.model.labels[int(s.argmax())], min(1.0, float(s.max()))
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, t in enumerate(some if self.model else []):
+            if len(t) > 8 * AT_ONCE:
+                lang[i], score[i] = self._long(t)
+                continue
+            words = WORD.findall(t)
+            if held and size + len(words) > AT_ONCE:
+                self._label(held, lang, score)
+                held, size = [], 0
+            if words:
+                held.append((i, words))
+                size += len(words)
+        if held:
+            self._label(held, lang, score)
         return lang, score
 
+    def _long(self, text: str) -> tuple[str, float]:
+        """A long text, part by part: first what each part does to a vector that passes it, then the parts' labels."""
+        n = len(self.model.labels)
+        overs = [self.model.over(self.scores(p)) for p in self._parts(text)]
+        if not overs:
+            return UNKNOWN, 0.0
+        before, after = [np.full(n, 1 / n)], [np.full(n, 1 / n)]
+        for m in overs[:-1]:
+            v = before[-1] @ m
+            before.append(v / v.sum())
+        for m in reversed(overs[1:]):
+            v = m @ after[-1]
+            after.append(v / v.sum())
+        sums, size = np.zeros(n), 0
+        for p, b, a in zip(self._parts(text), before, reversed(after)):
+            sums += self.model.marginals(self.scores(p), np.array([len(p)]), b, a).sum(0)
+            size += len(p)
+        return self.model.labels[int(sums.argmax())], min(1.0, float(sums.max() / size))
+
+    @staticmethod
+    def _parts(text: str) -> Iterator[list[str]]:
+        words = []
+        for m in WORD.finditer(text):
+            words.append(m[0])
+            if len(words) == AT_ONCE:
+                yield words
+                words = []
+        if words:
+            yield words
+
+    def _label(self, held: list[tuple[int, list[str]]], lang: list[str], score: list[float]) -> None:
+        lengths = np.array([len(w) for _, w in held], "i8")
+        p = self.model.marginals(self.scores([x for _, w in held for x in w]), lengths)
+        sums = np.add.reduceat(p, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+        for (i, _), s in zip(held, sums):
+            lang[i], score[i] = self.model.labels[int(s.argmax())], min(1.0, float(s.max()))
+
 
 def sequences(samples: list[tuple[str, int]], n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
     """Labelled sequences of CHUNK words at most: pieces of one document, and as often two pieces of two languages joined."""
     dice = random.Random(seed)
     by: list[list[list[str]]] = [[] for _ in range(n)]
     for text, label in samples:
-        words = WORD.findall(text)[:READ]
-        for at in range(0, len(words), CHUNK):
+        words = WORD.findall(text)
+        pieces = -(-len(words) // CHUNK)
+        few = min(pieces, -(-READ // CHUNK))
+        for k in range(few):  # spread over the whole text
+            at = k * pieces // few * CHUNK
             by[label].append(words[at : at + CHUNK])
     out = [[(w, label) for w in piece] for label in range(n) for piece in by[label]]
     full = [k for k in range(n) if by[k]]
@@ -248,14 +314,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
     spark = docs.sparkSession
     share = spark.createDataFrame([(k, min(1.0, 2 * sample / n + 20 / n)) for k, n in counts.items()], "lang string, share double")
     hash_ = F.xxhash64("doc_id", "text")
-    ids = known.join(F.broadcast(share), "lang").withColumn("h", hash_).filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    ids = known.join(F.broadcast(share), "lang").withColumn("h", hash_).filter(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "h", "text").collect()
+    chosen = ids.dropDuplicates(["lang", "h"]).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "h", "text").collect()
     labels = sorted(counts)
     chosen = [(r["text"], labels.index(r["lang"])) for r in sorted(chosen, key=lambda r: (r["lang"], r["h"]))]
     lexicon: set[str] = set()
     for k in range(len(labels)):
-        seen = Counter(w.lower() for t, y in chosen if y == k for w in WORD.findall(t)[:READ])
+        seen = Counter(w.lower() for t, y in chosen if y == k for w in WORD.findall(t))
         lexicon |= {w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n > 2}
     made = sequences(chosen, len(labels))
     return Crf(labels, frozenset(lexicon)).fit(made) if made else None

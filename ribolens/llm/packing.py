@@ -29,8 +29,8 @@ _WS = "\t-\r \x85\xa0  -     　"
 #: A part of a text that the tokenizer treats alone: a token never crosses from a letter to ASCII punctuation or to
 #: white space, nor from anything else to white space.
 PART = re.compile(rf"[{_WS}]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{_WS}!-/:-@\[-`{{-~]|\Z)|[^{_WS}]+|\Z)")
-#: Words whose ids a worker remembers; characters given to the tokenizer at once.
-KNOWN, LONG = 600_000, 1 << 16
+#: Words whose ids a task remembers; characters given to the tokenizer at once.
+KNOWN, LONG = 300_000, 1 << 16
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,7 +94,8 @@ class Parts:
         if not text:
             return b""
         if latin(text):
-            return b"".join(map(self.words.__getitem__, LATIN.findall(text)))
+            found = LATIN.findall(text) if len(text) < LONG else (m[0] for m in LATIN.finditer(text))
+            return b"".join(map(self.words.__getitem__, found))
         out, some, size = [], [], 0
         for m in PART.finditer(text):
             some.append(m[0])
@@ -192,11 +193,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             columns = zip(*rows) if rows else [()] * len(names)
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"])):
                 rows.extend(bins.add(doc, parts.ids(text) + end))
             yield batch_of(rows)
         yield batch_of(list(bins.close()))
+        parts.words.clear()  # an idle worker holds no words
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECE)
