@@ -43,7 +43,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = 0x9E3779B97F4A7C55
 _BACK = pow(_STEP, -1, 1 << 64)
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -171,7 +171,7 @@ def frequent_shingles(docs: DataFrame, top: int, shingle: int) -> tuple[np.ndarr
             for s in shingle_sets(raw(batch["text"]), shingle):
                 held.append(s)
                 size += len(s)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     yield out()
                     held, size = [], 0
         if held:
@@ -287,16 +287,22 @@ def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int) -> Data
     now = held.join(materialize(joined, "joined"), "node")
     counts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    now = materialize(now.join(largest.filter("parts > 1"), "token"), "rest")
-    outside = now.filter("component <> main")
-    pairs = now.alias("a").join(
-        outside.alias("b"),
+    # all that two nodes of different components share is in lists of more than one component
+    rest = materialize(now.join(largest.filter("parts > 1"), "token"), "rest")
+    own = rest.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
+    rest = materialize(rest.join(own, "node"), "tokens")
+    both = F.array_intersect("a.tokens", "b.tokens")
+    pairs = rest.alias("a").join(
+        rest.filter("component <> main").alias("b"),
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("a.component") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
-        & _may_link("a", "b", percent),
+        & _may_link("a", "b", percent)
+        & (F.size(both) >= F.least("a.l", "b.l"))
+        & (both[0] == F.col("a.token")),  # a pair is made once, by the first shingle that both share
     )
-    pairs = materialize(_enough(pairs).join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     return first if pairs.isEmpty() else first.unionByName(linked(pairs))
 
 

@@ -148,6 +148,19 @@ def test_long_sequences_are_whole():
     assert np.allclose(crf.marginals(scores, np.array([500])), want, atol=1e-6)
 
 
+def test_long_texts_part_by_part(monkeypatch):
+    dice = random.Random(3)
+    crf = language_id.Crf(["a", "b"], frozenset())
+    crf.emission = np.random.default_rng(4).normal(size=crf.emission.shape)
+    crf.transition = np.array([[1.0, -1.0], [-0.5, 0.7]])
+    some = [" ".join("".join(dice.choices("abcd", k=4)) for _ in range(n)) for n in (3, 700, 90)] + ["", "1 2"]
+    whole = language_id.Judge(crf)(some)
+    monkeypatch.setattr(language_id, "AT_ONCE", 40)
+    parts = language_id.Judge(crf)(some)
+    assert parts[0] == whole[0] and parts[1] == pytest.approx(whole[1])
+    assert whole[0][3:] == ["und", "und"]
+
+
 URLS = [
     ("http://a.example.org/es/1", "a.example.org", "/es/1", "example.org/es/", "block"),
     ("https://EXAMPLE.org/en/12?x#y", "example.org", "/en/12", "example.org/en/1", "block"),
