@@ -12,8 +12,8 @@ from ribolens.llm import decontaminate, exact_dedup, language_id, ngram_join, pa
 from ribolens.llm.common import materialize
 from ribolens.llm.queries import vocabulary
 
-#: A document without a language of at least this mean probability is rejected. At 0 these are the documents in which no
-#: language is found at all; a higher floor would also reject clean documents in several languages.
+#: A document without a language of at least this mean probability is rejected, besides those in no learned language,
+#: which the field finds by its certainty. A higher floor would also reject clean documents in several languages.
 LEAST_PROBABILITY = 0.0
 #: Two documents link at this Jaccard similarity (in percent) of their shingles of so many words.
 NEAR_PERCENT, NEAR_SHINGLE = 80, 5

@@ -5,6 +5,10 @@ all hashed; the field adds learned transitions between the languages of neighbou
 word's label probabilities; a document's language is the one with the largest mean probability. The fit uses at most
 ``SAMPLE`` documents of each language and joins pieces of different languages into sequences, so that transitions are
 learned from text whose switches are known.
+
+The field also decides whether a text is in any learned language: by its certainty, the mean of each word's largest
+probability, which is low where the features are unknown, and high in clean text of several languages. Its floor, for
+each power of two of words, is calibrated on learned texts and on words of random letters (``floors``).
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ LEXICON = 500
 #: once, if they are of more than one text.
 KNOWN, CHUNK, AT_ONCE = 100_000, 32, 1 << 16
 UNKNOWN = "und"
+#: The floors are calibrated on texts of up to 2 ** LENGTHS words, and on JUNK texts of random letters for each length.
+#: Quantiles, of the certainty of learned texts and of these, that a few odd texts of either kind do not move.
+LENGTHS, JUNK, LOW, HIGH = 8, 200, 0.005, 0.99
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,9 +86,14 @@ class Crf:
         self.labels, self.lexicon, n = labels, lexicon, len(labels)
         self.emission = np.zeros((1 << BITS, n))
         self.transition = np.zeros((n, n))
+        self.floors = np.zeros(LENGTHS + 1)
 
     def __getstate__(self):
-        return {"labels": self.labels, "lexicon": self.lexicon, "emission": self.emission.astype("f4"), "transition": self.transition}
+        return {"labels": self.labels, "lexicon": self.lexicon, "emission": self.emission.astype("f4"), "transition": self.transition, "floors": self.floors}
+
+    def sure(self, certainty: float, n_words: int) -> bool:
+        """Whether a text of this mean of its words' largest probabilities is in a learned language."""
+        return certainty >= self.floors[min(n_words.bit_length() - 1, LENGTHS)]
 
     def passes(self, e: np.ndarray, valid: np.ndarray, starts: np.ndarray, before=None, after=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward vectors of every word, and the product over each chunk. ``e``: exp scores (chunk, word, label).
@@ -225,31 +237,32 @@ class Judge:
     def __init__(self, model: Crf | None):
         self.model, self.scores = model, Scores(model) if model else None
 
-    def __call__(self, some: list[str]) -> tuple[list[str], list[float]]:
-        lang, score = [UNKNOWN] * len(some), [0.0] * len(some)
+    def __call__(self, some: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score, and whether the text is in a learned language at all."""
+        lang, score, sure = [UNKNOWN] * len(some), [0.0] * len(some), [False] * len(some)
         held: list[tuple[int, list[str]]] = []
         size = 0
         for i, t in enumerate(some if self.model else []):
             if len(t) > 8 * AT_ONCE:
-                lang[i], score[i] = self._long(t)
+                lang[i], score[i], sure[i] = self._long(t)
                 continue
             words = WORD.findall(t)
             if held and size + len(words) > AT_ONCE:
-                self._label(held, lang, score)
+                self._label(held, lang, score, sure)
                 held, size = [], 0
             if words:
                 held.append((i, words))
                 size += len(words)
         if held:
-            self._label(held, lang, score)
-        return lang, score
+            self._label(held, lang, score, sure)
+        return lang, score, sure
 
-    def _long(self, text: str) -> tuple[str, float]:
+    def _long(self, text: str) -> tuple[str, float, bool]:
         """A long text, part by part: first what each part does to a vector that passes it, then the parts' labels."""
         n = len(self.model.labels)
         overs = [self.model.over(self.scores(p)) for p in self._parts(text)]
         if not overs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         before, after = [np.full(n, 1 / n)], [np.full(n, 1 / n)]
         for m in overs[:-1]:
             v = before[-1] @ m
@@ -257,11 +270,13 @@ class Judge:
         for m in reversed(overs[1:]):
             v = m @ after[-1]
             after.append(v / v.sum())
-        sums, size = np.zeros(n), 0
+        sums, size, certainty = np.zeros(n), 0, 0.0
         for p, b, a in zip(self._parts(text), before, reversed(after)):
-            sums += self.model.marginals(self.scores(p), np.array([len(p)]), b, a).sum(0)
+            found = self.model.marginals(self.scores(p), np.array([len(p)]), b, a)
+            sums += found.sum(0)
+            certainty += found.max(1).sum()
             size += len(p)
-        return self.model.labels[int(sums.argmax())], min(1.0, float(sums.max() / size))
+        return self.model.labels[int(sums.argmax())], min(1.0, float(sums.max() / size)), self.model.sure(certainty / size, size)
 
     @staticmethod
     def _parts(text: str) -> Iterator[list[str]]:
@@ -274,12 +289,48 @@ class Judge:
         if words:
             yield words
 
-    def _label(self, held: list[tuple[int, list[str]]], lang: list[str], score: list[float]) -> None:
+    def _label(self, held: list[tuple[int, list[str]]], lang: list[str], score: list[float], sure: list[bool]) -> None:
         lengths = np.array([len(w) for _, w in held], "i8")
         p = self.model.marginals(self.scores([x for _, w in held for x in w]), lengths)
-        sums = np.add.reduceat(p, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-        for (i, _), s in zip(held, sums):
-            lang[i], score[i] = self.model.labels[int(s.argmax())], min(1.0, float(s.max()))
+        starts = np.cumsum(lengths) - lengths
+        sums = np.add.reduceat(p, starts, axis=0) / lengths[:, None]
+        certainty = np.add.reduceat(p.max(1), starts) / lengths
+        for (i, w), s, c in zip(held, sums, certainty):
+            lang[i], score[i], sure[i] = self.model.labels[int(s.argmax())], min(1.0, float(s.max())), self.model.sure(c, len(w))
+
+
+def floors(crf: Crf, samples: list[tuple[str, int]], seed: int = 13) -> np.ndarray:
+    """The least certainty of a text in a learned language, by the power of two of its words.
+
+    Learned texts and as many joined from two of them, cut to each length, give the low certainty of clean text; words as
+    long, of letters drawn at random, the high one of text in no language. The floor is midway, or the former where
+    they overlap.
+    """
+    dice = random.Random(seed)
+    clean = [w for t, _ in samples if (w := WORD.findall(t))]
+    alphabet = sorted({c for w in clean for x in w for c in x.lower()})
+    scores, out = Scores(crf), np.zeros(LENGTHS + 1)
+    if not clean:
+        return out
+
+    def some(words: list[str], n: int) -> list[str]:
+        at = dice.randrange(max(1, len(words) - n + 1))
+        return words[at : at + n]
+
+    def certainty(of: list[list[str]]) -> np.ndarray:
+        lengths = np.array(list(map(len, of)), "i8")
+        p = crf.marginals(scores([x for w in of for x in w]), lengths).max(1)
+        return np.add.reduceat(p, np.cumsum(lengths) - lengths) / lengths
+
+    for k in range(LENGTHS + 1):
+        n = 1 << k
+        texts_ = [some(w, n) for w in clean]
+        if n > 1:
+            texts_ += [some(w, n // 2) + some(dice.choice(clean), n // 2) for w in clean]
+        low = np.quantile(certainty(texts_), LOW)
+        junk = [["".join(dice.choices(alphabet, k=len(x))) for x in some(dice.choice(clean), n)] for _ in range(JUNK)]
+        out[k] = (low + min(low, np.quantile(certainty(junk), HIGH))) / 2
+    return out
 
 
 def sequences(samples: list[tuple[str, int]], n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
@@ -324,7 +375,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
         seen = Counter(w.lower() for t, y in chosen if y == k for w in WORD.findall(t))
         lexicon |= {w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n > 2}
     made = sequences(chosen, len(labels))
-    return Crf(labels, frozenset(lexicon)).fit(made) if made else None
+    if not made:
+        return None
+    crf = Crf(labels, frozenset(lexicon)).fit(made)
+    crf.floors = floors(crf, chosen)
+    return crf
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -340,7 +395,7 @@ def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = S
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in slices(batches, 256):
-            lang, score = judge(texts(batch["text"]))
+            lang, score, _ = judge(texts(batch["text"]))
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())
@@ -348,13 +403,14 @@ def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = S
 
 
 def accepted(docs: DataFrame, minimum: float, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language of at least ``minimum`` mean probability."""
+    """The rows of ``docs``, with all their columns, whose text is in a learned language by the field's certainty, and has one
+    of at least ``minimum`` mean probability."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in slices(batches, 256):
-            lang, score = judge(texts(batch["text"]))
-            yield batch.filter(pa.array([k != UNKNOWN and s >= minimum for k, s in zip(lang, score)], pa.bool_()))
+            _, score, sure = judge(texts(batch["text"]))
+            yield batch.filter(pa.array([ok and s >= minimum for s, ok in zip(score, sure)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -107,6 +107,15 @@ def test_language(make, odd):
     assert {i for i, _, _ in rows} <= left and not left & {2, 3, 6, 900, 901}
 
 
+def test_texts_in_no_learned_language_go(make):
+    dice = random.Random(8)
+    rows = [(i, prose(dice, lang, dice.randint(5, 60)), lang) for i in range(100, 400) for lang in (["aa", "bb", "cc"][i % 3],)]
+    mixed = [(500 + i, prose(dice, "aa", 20) + " " + prose(dice, "bb", 20), None) for i in range(10)]
+    junk = [(600 + i, " ".join("".join(dice.choices(letters, k=dice.randint(2, 9))) for _ in range(40)), None) for i, letters in enumerate(["bcdfghjklmpqvwxyz", "абвгдежзик", "αβγδεζηθ", "中文字漢語言"])]
+    left = {r["doc_id"] for r in language_id.accepted(make(rows + mixed + junk), 0.0, sample=60).collect()}
+    assert left == {r[0] for r in rows + mixed}
+
+
 def test_language_without_training(make):
     assert [r["lang_pred"] for r in language_id.identify(make([(1, "abc", None)])).collect()] == ["und"]
     assert language_id.identify(make([])).count() == 0
