@@ -1,12 +1,13 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities (e-mail addresses, IP addresses, cards, phone numbers). The corpus then says what
-else reveals them: for an entity e and a term t near it, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) over documents is
-compared with the information IC(e) = log2(N / n(e)) that the entity itself carries. From ``alpha_generalise`` times
-IC(e) on, the term's occurrences near e are generalised to their shape; from ``alpha_remove`` times IC(e) on, removed.
-An estimate counts only when ``min_support`` different documents hold both.
+else reveals them: for an entity e and a term t of the same document, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) over
+documents is compared with the information IC(e) = log2(N / n(e)) that the entity itself carries. From
+``alpha_generalise`` times IC(e) on, all the term's occurrences in documents with e are generalised to their shape; from
+``alpha_remove`` times IC(e) on, removed. Where fewer than ``min_support`` documents hold both, n(e,t) / n(e) is smoothed
+by the rate q of t in the other documents with an entity of e's kind: (n(e,t) + min_support q) / (n(e) + min_support).
 
-n(t) counts every document of the corpus. Nothing is collected: counts are summed by hash, after partial sums.
+All counts are of whole documents of the whole corpus. Nothing is collected: counts are summed by hash, after partial sums.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 #: Words that a partition counts before it hands on partial counts.
 VOCABULARY = 200_000
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())])
-NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+MENTION = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 SPANS = "array<struct<kind:string,start:long,end:long,action:string>>"
 
 
@@ -94,32 +95,30 @@ def entity(kind: str, found: str) -> str:
     return f"{kind}:{found.lower() if kind in ('email', 'ip') else _digits(found)}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], width: int, reach: int = 400) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the ``width`` terms before and after each span, none of them inside a span."""
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        lo = max(0, a - reach)
-        before = [(m.start() + lo, m.end() + lo) for m in TERM.finditer(text[lo:a])][-width:]
-        after = [(m.start() + b, m.end() + b) for m in TERM.finditer(text[b : b + reach])][:width]
-        for s, e in (*before, *after):
-            if not any(x < e and s < y for _, x, y in spans):
-                yield name, text[s:e].lower(), s, e
+def mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term of the text that overlaps no span; spans by start."""
+    k, last = 0, 0
+    for m in TERM.finditer(text):
+        while k < len(spans) and spans[k][1] < m.end():
+            last, k = max(last, spans[k][2]), k + 1
+        if last <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
-def detect(docs: DataFrame, width: int) -> DataFrame:
-    """row, doc_id, base (spans), entities, near (entity, term, start, end) of every row."""
+def detect(docs: DataFrame) -> DataFrame:
+    """row, doc_id, base (spans), entities, mentions (term, start, end; of rows with an entity) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            base, near, names = [], [], []
+        for batch in slices(batches):
+            base, terms, names = [], [], []
             for t in texts(batch["text"]):
                 spans = base_spans(t)
                 base.append([{"kind": k, "start": a, "end": b, "action": "mask"} for k, a, b in spans])
                 names.append(sorted({entity(k, t[a:b]) for k, a, b in spans}))
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(t, spans, width)] if spans else [])
-            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "base": pa.array(base, pa.list_(SPAN)), "entities": pa.array(names, pa.list_(pa.string())), "near": pa.array(near, pa.list_(NEAR))})
+                terms.append([dict(zip(("term", "start", "end"), x)) for x in mentions(t, spans)] if spans else [])
+            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "base": pa.array(base, pa.list_(SPAN)), "entities": pa.array(names, pa.list_(pa.string())), "mentions": pa.array(terms, pa.list_(MENTION))})
 
-    return docs.mapInArrow(work, f"row long, doc_id long, base {SPANS}, entities array<string>, near array<struct<entity:string,term:string,start:long,end:long>>")
+    return docs.mapInArrow(work, f"row long, doc_id long, base {SPANS}, entities array<string>, mentions array<struct<term:string,start:long,end:long>>")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -142,20 +141,33 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
+def _kind(entity):
+    return F.substring_index(entity, ":", 1)
+
+
 def disclosing(found: DataFrame, docs: DataFrame, total: int, min_support: int, alpha: float) -> DataFrame:
-    """entity, term, share: PMI(entity; term) / IC(entity) of the pairs that reach ``alpha``."""
-    once = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    pairs = found.filter(F.size("near") > 0).select(F.explode(once).alias("x")).groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_et"))
-    n_et = materialize(pairs.filter(F.col("n_et") >= min_support), "pairs")
-    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_t = document_frequency(docs).join(n_et.select("term").distinct(), "term", "left_semi")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    """entity, term, share: PMI(entity; term) / IC(entity) of the pairs that reach ``alpha``. ``found``: detect()'s table."""
+    one = F.count(F.lit(1))
+    terms = F.array_distinct(F.transform("mentions", lambda x: x["term"])).alias("terms")
+    some = found.filter(F.size("entities") > 0).select("entities", F.array_distinct(F.transform("entities", _kind)).alias("kinds"), terms)
+    n_et = some.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(one.alias("n_et"))
+    n_e = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(one.alias("n_e"))
+    n_ct = some.select(F.explode("kinds").alias("kind"), "terms").select("kind", F.explode("terms").alias("term")).groupBy("kind", "term").agg(one.alias("n_ct"))
+    n_c = some.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(one.alias("n_c"))
+    # a kind's terms, each with its count over the corpus
+    of = materialize(n_ct.join(document_frequency(docs), "term", "left").join(F.broadcast(n_c), "kind"), "kinds")
+    joined = n_et.join(n_e, "entity").withColumn("kind", _kind(F.col("entity"))).join(of, ["kind", "term"])
+    n_t = F.greatest(F.coalesce("n_t", F.lit(0)), "n_ct")
+    others = F.col("n_c") - F.col("n_e")
+    q = F.when(others > 0, (F.col("n_ct") - F.col("n_et")) / others).otherwise(n_t / float(total))
+    rate = F.when(F.col("n_et") >= min_support, F.col("n_et") / F.col("n_e")).otherwise((F.col("n_et") + min_support * q) / (F.col("n_e") + min_support))
+    pmi = F.log2(F.lit(float(total)) * rate / n_t)
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    joined = n_et.join(n_e, "entity").join(n_t, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
-    return materialize(joined.filter(F.col("share") >= alpha).select("entity", "term", "share"), "disclosing")
+    share = F.when(ic > 0, pmi / ic).otherwise(0.0)
+    return materialize(joined.withColumn("share", share).filter(F.col("share") >= alpha).select("entity", "term", "share"), "disclosing")
 
 
-def find(docs: DataFrame, width: int = 6, min_support: int = 3, alpha_generalise: float = 0.8, alpha_remove: float = 1.0) -> DataFrame:
+def find(docs: DataFrame, min_support: int = 3, alpha_generalise: float = 0.8, alpha_remove: float = 1.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, base, spans; both arrays of (kind, start, end, action), code points.
 
     ``base`` holds the protected entities alone, ``spans`` also the terms (kind ``term``) that reveal them. A null text
@@ -163,13 +175,16 @@ def find(docs: DataFrame, width: int = 6, min_support: int = 3, alpha_generalise
     doc_id and text are ignored; no rows give no rows.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = materialize(detect(docs, width), "entities")
+    found = materialize(detect(docs), "entities")
     total = found.count()
-    terms = disclosing(found, docs, total, min_support, alpha_generalise)
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+    pairs = disclosing(found, docs, total, min_support, alpha_generalise)
+    some = found.filter(F.size("entities") > 0)
+    terms = F.array_distinct(F.transform("mentions", lambda x: x["term"])).alias("terms")
+    held = some.select("row", F.explode("entities").alias("entity"), terms).select("row", "entity", F.explode("terms").alias("term"))
     action = F.when(F.col("share") >= alpha_remove, "remove").otherwise("generalise")
-    added = near.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max(action).alias("action"))
-    added = added.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "action")).alias("added"))
+    marked = held.join(pairs, ["entity", "term"]).groupBy("row", "term").agg(F.max(action).alias("action"))
+    places = some.select("row", F.explode("mentions").alias("x")).select("row", "x.*").join(marked, ["row", "term"])
+    added = places.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "action")).alias("added"))
     return found.join(added, "row", "left").select("doc_id", "base", ordered(F.concat("base", F.coalesce("added", F.array().cast(SPANS)))).alias("spans"))
 
 

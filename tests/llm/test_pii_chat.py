@@ -58,6 +58,20 @@ def test_terms_that_reveal(make, odd):
     assert secret not in clean[300] and "me@corp.example" not in clean[300] and "[EMAIL]" in clean[300]
 
 
+def test_terms_anywhere_and_of_rare_entities(make):
+    filler = "the day was long and the road was wide " * 30
+    far = [(i, f"Zorblax left. {filler} write me@corp.example {filler} zorblax") for i in range(4)]
+    rare = [(10, f"quibnor {filler} call +1 (743) 555-3824 about weather")]
+    others = [(100 + i, f"{filler} weather person{i}@mail.example") for i in range(40)]
+    plain = [(1000 + i, f"{filler} weather") for i in range(3000)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(make(far + rare + others + plain)).collect()}
+    for i, t in far:
+        assert [(t[s["start"] : s["end"]], s["action"]) for s in got[i] if s["kind"] == "term" and t[s["start"] : s["end"]].lower() == "zorblax"] == [("Zorblax", "remove"), ("zorblax", "remove")]
+    t = rare[0][1]
+    assert [t[s["start"] : s["end"]] for s in got[10] if s["kind"] == "term" and s["action"] == "generalise"] == ["quibnor", "call", "about"]
+    assert all(s["kind"] != "term" for i, _ in others + plain for s in got[i])
+
+
 def test_digest(make, odd):
     rows = odd + [(70, "call +1 (743) 555-3824 or 10.0.0.1 a@b.co 4539148803436467")]
     got = pii.digest(pii.find(make(rows))).collect()
