@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 import sys
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 PART = re.compile(rf"[{_WS}]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{_WS}!-/:-@\[-`{{-~]|\Z)|[^{_WS}]+|\Z)")
 #: Words whose ids a task remembers; characters given to the tokenizer at once.
 KNOWN, LONG = 300_000, 1 << 16
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -145,7 +145,7 @@ class Bins:
     def _seal(self, pieces: list) -> Iterator[tuple]:
         at = 0
         for doc, start, ids, total in pieces:
-            yield doc, start, len(ids) // 4, zlib.crc32(ids), total, self.next, at
+            yield doc, start, len(ids) // 4, ids, total, self.next, at
             at += len(ids) // 4
         self.next += 1
 
@@ -175,7 +175,7 @@ class Bins:
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian 32-bit, as bytes), ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the tokenizer file ``vocabulary`` without special tokens, then ``end_id``; a null or
     empty text is ``end_id`` alone. Each id lies in exactly one piece; a sequence's pieces lie at offsets without gaps
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             names = [c.split()[0] for c in PIECE.split(", ")]
             columns = zip(*rows) if rows else [()] * len(names)
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
+            return pa.record_batch([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(columns, names)], names)
 
         for batch in slices(batches, 256):
             rows = []
@@ -201,4 +201,23 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         yield batch_of(list(bins.close()))
         parts.words.clear()  # an idle worker holds no words
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECE)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECE)
+    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
+    """One row per sequence of pack()'s pieces: sequence_id, length, ids (array, filled with ``pad_id`` to ``capacity``)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = pad_id.to_bytes(4, "little")
+        for batch in slices(batches):
+            ids = [b"".join(x["ids"] for x in row) for row in batch["pieces"].to_pylist()]
+            filled = [np.frombuffer(x + pad * (capacity - len(x) // 4), "<i4") for x in ids]
+            yield pa.record_batch({
+                "sequence_id": batch["sequence_id"],
+                "length": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids": pa.array(filled, pa.list_(pa.int32())),
+            })
+
+    rows = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    return rows.mapInArrow(work, "sequence_id long, length long, ids array<int>")

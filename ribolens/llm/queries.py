@@ -22,7 +22,7 @@ def vocabulary() -> str:
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
 def op3_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,23 @@ def test_pieces(make, odd, plain):
         assert at == len(ids)
 
 
+def test_sequences_hold_the_ids(make, odd, plain):
+    pieces = packing.pack(make(odd).repartition(3), vocabulary())
+    got = pieces.collect()
+    rows = {r["sequence_id"]: r for r in packing.sequences(pieces, pad_id=7).collect()}
+    assert set(rows) == {r["sequence_id"] for r in got}
+    texts = dict((i, t) for i, t in odd if i not in (5, None))
+    read = defaultdict(dict)
+    for r in got:
+        sequence = rows[r["sequence_id"]]["ids"]
+        assert sequence[r["offset"] : r["offset"] + r["length"]] == np.frombuffer(r["ids"], "<u4").tolist()
+        read[r["doc_id"]][r["start"]] = sequence[r["offset"] : r["offset"] + r["length"]]
+    for i, t in texts.items():
+        assert sum((x for _, x in sorted(read[i].items())), []) == [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+    for r in rows.values():
+        assert len(r["ids"]) == packing.CAPACITY and set(r["ids"][r["length"] :]) <= {7}
+
+
 def test_padding_is_little(make):
     dice = random.Random(6)
     rows = [(i, " ".join(dice.choices(["alpha", "beta", "gamma", "delta"], k=int(dice.lognormvariate(5.5, 1))))) for i in range(1500)]
