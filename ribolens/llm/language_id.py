@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, slices, texts
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters; a longer one counts as several words, one after the other.
+WORD = re.compile(r"[^\W\d_]{1,40}")
 BITS = 16
 #: Documents of each language that the fit uses at most; about as many words of each, in pieces spread over its text.
 SAMPLE, READ = 250, 400
@@ -50,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def features(words: list[str], lexicon: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) of all words at once: n-grams of 1 to 3 characters with the word's edges, prefixes and suffixes of
     1 to 4, and the word itself if the lexicon has it."""
-    low = [w.lower()[:40] for w in words]
+    low = [w.lower() for w in words]
     sizes = np.array([len(w) for w in low], "i8") + 2
     starts = np.cumsum(sizes) - sizes
     c = np.frombuffer("".join([f"^{w}$" for w in low]).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
@@ -257,12 +258,11 @@ class Judge:
             self._label(held, lang, score, sure)
         return lang, score, sure
 
-    def _long(self, text: str) -> tuple[str, float, bool]:
-        """A long text, part by part: first what each part does to a vector that passes it, then the parts' labels."""
+    def _marginals(self, text: str) -> Iterator[tuple[list[re.Match], np.ndarray]]:
+        """Words and their label probabilities, part by part: first what each part does to a vector that passes it, then
+        the parts' labels."""
         n = len(self.model.labels)
-        overs = [self.model.over(self.scores(p)) for p in self._parts(text)]
-        if not overs:
-            return UNKNOWN, 0.0, False
+        overs = [self.model.over(self.scores([m[0] for m in p])) for p in self._parts(text)]
         before, after = [np.full(n, 1 / n)], [np.full(n, 1 / n)]
         for m in overs[:-1]:
             v = before[-1] @ m
@@ -270,19 +270,30 @@ class Judge:
         for m in reversed(overs[1:]):
             v = m @ after[-1]
             after.append(v / v.sum())
-        sums, size, certainty = np.zeros(n), 0, 0.0
         for p, b, a in zip(self._parts(text), before, reversed(after)):
-            found = self.model.marginals(self.scores(p), np.array([len(p)]), b, a)
+            yield p, self.model.marginals(self.scores([m[0] for m in p]), np.array([len(p)]), b, a)
+
+    def words(self, text: str) -> Iterator[tuple[int, int, str, float]]:
+        """(start, end, label, probability) of each word."""
+        for p, found in self._marginals(text) if self.model else []:
+            for m, k, x in zip(p, found.argmax(1), found.max(1)):
+                yield m.start(), m.end(), self.model.labels[k], min(1.0, float(x))
+
+    def _long(self, text: str) -> tuple[str, float, bool]:
+        sums, size, certainty = np.zeros(len(self.model.labels)), 0, 0.0
+        for p, found in self._marginals(text):
             sums += found.sum(0)
             certainty += found.max(1).sum()
             size += len(p)
+        if not size:
+            return UNKNOWN, 0.0, False
         return self.model.labels[int(sums.argmax())], min(1.0, float(sums.max() / size)), self.model.sure(certainty / size, size)
 
     @staticmethod
-    def _parts(text: str) -> Iterator[list[str]]:
+    def _parts(text: str) -> Iterator[list[re.Match]]:
         words = []
         for m in WORD.finditer(text):
-            words.append(m[0])
+            words.append(m)
             if len(words) == AT_ONCE:
                 yield words
                 words = []
@@ -385,6 +396,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
 def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (mean probability of lang_pred over the words).
 
+    A word is a run of at most 40 letters; longer runs are cut into several. label_words() gives the words' own labels.
     ``training`` (``docs`` itself if None) gives the texts with a lang to learn from. A text that is null, empty or
     without a letter is ``und`` with score 0; so is every text if nothing can be learned. A null doc_id counts as held
     out. Rows that repeat a doc_id are each judged; columns but doc_id, text and training's lang are ignored.
@@ -402,6 +414,24 @@ def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = S
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def label_words(docs: DataFrame, training: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, words (start, end in code points, label, probability; in order).
+
+    As in identify(); a text without a word, and every text if nothing can be learned, has no words.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(train(docs if training is None else training, sample))
+    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("probability", pa.float64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(held.value)
+        for batch in slices(batches, 64):
+            words = [[dict(zip(("start", "end", "label", "probability"), w)) for w in judge.words(t)] for t in texts(batch["text"])]
+            yield pa.record_batch({"doc_id": batch["doc_id"], "words": pa.array(words, pa.list_(kind))})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(work, "doc_id long, words array<struct<start:long,end:long,label:string,probability:double>>")
+
+
 def accepted(docs: DataFrame, minimum: float, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in a learned language by the field's certainty, and has one
     of at least ``minimum`` mean probability."""

@@ -107,6 +107,20 @@ def test_language(make, odd):
     assert {i for i, _, _ in rows} <= left and not left & {2, 3, 6, 900, 901}
 
 
+def test_long_runs_are_read_whole(make):
+    dice = random.Random(12)
+    rows = [(i, prose(dice, lang, dice.randint(5, 60)), lang) for i in range(100, 400) for lang in (["aa", "bb", "cc"][i % 3],)]
+    a, b = (prose(dice, lang, 60).replace(" ", "") for lang in ("aa", "bb"))
+    run = a[:40] + b * 20
+    docs = make(rows + [(1, run, None), (2, "12 " + a[:30] + " " + b[:30], None), (3, None, None)])
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, sample=60).collect()}[1] == "bb"
+    got = {r["doc_id"]: r["words"] for r in language_id.label_words(docs, sample=60).collect()}
+    assert [(w["start"], w["end"]) for w in got[1]] == [(k, min(k + 40, len(run))) for k in range(0, len(run), 40)]
+    assert [w["label"] for w in got[1][:1] + got[1][2:]] == ["aa"] + ["bb"] * (len(got[1]) - 2)
+    assert [(w["start"], w["end"], w["label"]) for w in got[2]] == [(3, 33, "aa"), (34, 64, "bb")]
+    assert got[3] == [] and len(got) == len(rows) + 3
+
+
 def test_texts_in_no_learned_language_go(make):
     dice = random.Random(8)
     rows = [(i, prose(dice, lang, dice.randint(5, 60)), lang) for i in range(100, 400) for lang in (["aa", "bb", "cc"][i % 3],)]
