@@ -14,6 +14,7 @@ list; these are all the pairs that can still join components, so the result is e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -40,6 +41,7 @@ FILTER_BITS = 1 << 24
 #: Space, and tab to carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP, _GAPS = re.compile(rb"[\t-\r ]"), (b"\t", b"\n", b"\v", b"\f", b"\r", b" ")
 _STEP = 0x9E3779B97F4A7C55
 _BACK = pow(_STEP, -1, 1 << 64)
 #: Bytes of text that are hashed at once.
@@ -74,14 +76,28 @@ def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix((run[end] - run[start]) * down[start] + (end - start).astype("u8")), start
 
 
+def _one(word: bytes) -> np.ndarray:
+    """word_hashes() of one word of any length: the pieces' sums, each times the power of its place."""
+    up, total = _powers()[0], 0
+    for at in range(0, len(word), PIECE):
+        b = np.frombuffer(word[at : at + PIECE], "u1").astype("u8") + np.uint64(1)
+        total += int((b * up[: len(b)]).sum(dtype="u8")) * pow(_STEP, at, 1 << 64)
+    return _mix(np.array([(total + len(word)) % (1 << 64)], "u8"))
+
+
 def _long(text: bytes) -> np.ndarray:
-    """word_hashes() of a text of any length, piece by piece; only a word longer than a piece is hashed in parts."""
+    """word_hashes() of a text of any length, piece by piece; pieces end at white space, so that each word is whole."""
     out, at = [], 0
     while at < len(text):
-        end = at + PIECE
-        while end < len(text) and end < at + 2 * PIECE and text[end] not in b" \t\n\v\f\r":
-            end += 1
-        out.append(word_hashes(text[at:end])[0])
+        m = _GAP.search(text, at + PIECE)
+        end = m.start() if m else len(text)
+        if end - at > 2 * PIECE:  # a word goes on for over a piece
+            start = max(at, 1 + max(text.rfind(c, at, at + PIECE) for c in _GAPS))
+            if start > at:
+                out.append(word_hashes(text[at:start])[0])
+            out.append(_one(text[start:end]))
+        else:
+            out.append(word_hashes(text[at:end])[0])
         at = end
     return np.concatenate(out) if out else np.zeros(0, "u8")
 

@@ -93,6 +93,22 @@ def test_join(make, odd, percent, n):
     assert sorted(map(tuple, got), key=str) == groups(docs, percent, n)
 
 
+def test_words_of_any_length_are_whole(make, monkeypatch):
+    assert len(ngram_join.shingle_sets([b"x" * (5 * ngram_join.PIECE + 3)])[0]) == 1
+    dice = random.Random(4)
+    word = lambda n: "".join(dice.choices("abcdeé", k=n))
+    texts = [" \n".join(word(dice.choice([1, 5, 60, 63, 64, 65, 128, 129, 700])) for _ in range(dice.randint(1, 12))) + dice.choice(["", " "]) for _ in range(300)]
+    want = [s.tolist() for t in texts for s in ngram_join.shingle_sets([t.encode()])]
+    long = word(ngram_join.PIECE * 3)
+    rows = [(1, f"a b {long} c"), (2, f"a b {long}  c"), (3, f"a b x{long} c"), (4, long)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(make(rows)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 3), 4: (1, 4)}
+    ngram_join._powers.cache_clear()
+    monkeypatch.setattr(ngram_join, "PIECE", 64)
+    assert [s.tolist() for t in texts for s in ngram_join.shingle_sets([t.encode()])] == want
+    ngram_join._powers.cache_clear()
+
+
 def test_join_of_nothing(make):
     assert ngram_join.similar_groups(make([])).count() == 0
     assert [tuple(r) for r in ngram_join.similar_groups(make([(4, None)])).collect()] == [(4, 0, 4)]
