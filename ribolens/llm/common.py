@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: A key with more than 1 / HOT of a table's rows is dealt over COPIES tasks in a join.
+HOT, COPIES = 256, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is missing (local tests) a temporary folder is made and set.
+    Where the setting is missing and driver and tasks are one process (local tests), a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ribolens-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -41,6 +45,33 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written so that every reading gives a row the same number; the number's column."""
+    column = "row"
+    while column.lower() in map(str.lower, docs.columns):
+        column += "_"
+    return materialize(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than 1 / HOT of the rows, fewer than HOT of them; none where each has under HOT rows."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT, rows.count() // HOT)
+    return [r[0] for r in counts.filter(F.col("n") > least).select(key).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, spread: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` by ``key``; the rows of each key in ``hot`` are dealt over COPIES tasks by the hash of the
+    left column ``spread``, and the key's rows of ``right`` are copied to each of them."""
+    if not hot:
+        return left.join(right, key, how)
+    some = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    salt = F.when(some, F.pmod(F.xxhash64(spread), F.lit(COPIES)).cast("int")).otherwise(0)
+    salts = F.when(some, F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    joined = left.withColumn("salt", salt).join(right.withColumn("salt", F.explode(salts)), [key, "salt"], how)
+    return joined.drop("salt")
+
+
 def parallel(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, join_hot, materialize
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """node, component (its smallest node), of the nodes in ``links`` (a, b).
 
-    Each round a node takes the smallest label among its neighbours' and its own, then its label's label. Labels are sums
-    of a group only as a minimum, taken before the shuffle, so a node may have any number of links. Every round is a
-    table in the shared folder; it ends when no label changes.
+    Each round a node takes the smallest label among its neighbours' and its own, then its label's label. A node may have
+    any number of links, and a component any number of nodes: minima are taken before the shuffle, and the rows of a node
+    with many links, or of a label with many nodes, are dealt over many tasks. Every round is a table in the shared
+    folder; it ends when no label changes.
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    hubs = hot_keys(both, "b")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     for _ in range(rounds):
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        moved = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("was"))
-        heads = moved.select(F.col("node").alias("head"), F.col("to").alias("jump"))
-        new = moved.join(heads, moved["to"] == heads["head"], "left").select("node", F.least("to", F.coalesce("jump", "to")).alias("component"), "was")
+        theirs = labels.select(F.col("node").alias("b"), "component")
+        seen = join_hot(both, theirs, "b", hubs, "a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        moved = materialize(labels.join(seen, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was")), "moved")
+        jumps = moved.select(F.col("node").alias("to"), F.col("to").alias("jump"))
+        new = join_hot(moved, jumps, "to", hot_keys(moved, "to"), "node").select("node", F.least("to", "jump").alias("component"), "was")
         new = materialize(new, "labels")
         labels = new.select("node", "component")
-        if new.filter("component <> was").limit(1).count() == 0:
+        if new.filter("component <> was").isEmpty():
             break
     else:
         raise RuntimeError("components have not settled")

@@ -7,7 +7,7 @@ lists promise many candidates, the prefix is lengthened by one, and one more sha
 share min(l, l') prefix shingles and pass the length and position bounds before its sets are compared.
 
 Only components are asked for, so pairs inside a group are not all made. Equal sets are one node, named by a 64-bit
-hash. First each list's most central node is compared with the others of its list, and what links becomes a component;
+hash; a second one shows whether two sets share a name, and then all get others. First each list's most central node is compared with the others of its list, and what links becomes a component;
 then only pairs of different components are made, between the nodes outside a list's largest component and all of the
 list; these are all the pairs that can still join components, so the result is exact.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize, raw, slices
+from .common import HOT, hot_keys, join_hot, materialize, raw, slices
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -34,8 +34,10 @@ MOST, FREQUENT = 6, 1 << 17
 FEWER = 4
 #: Rows of a partition in which a shingle must occur for the partition to report it.
 REPORT = 3
-#: Bits of the filter that spares unlinked documents the second reading.
-FILTER_BITS = 1 << 24
+#: Shared shingles before its own that a row of the residual join carries.
+LAST = 4
+#: The filter that spares unlinked documents the second reading has at most 2 ** FILTER_BITS bits.
+FILTER_BITS = 28
 
 
 #: Space, and tab to carriage return.
@@ -139,8 +141,10 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """A set's name, and a second hash that tells sets of one name apart."""
+    d = blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -199,50 +203,55 @@ def frequent_shingles(docs: DataFrame, top: int, shingle: int) -> tuple[np.ndarr
     return np.ascontiguousarray(h[order]), np.ascontiguousarray(n[order])
 
 
-def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: int, shingle: int) -> DataFrame:
-    """doc_id, at (a hash of doc_id), n, node (a hash of the set; null if empty), l, prefix of each row."""
+def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: int, shingle: int, salt: int = 0) -> DataFrame:
+    """doc_id, at (a hash of doc_id), n, node and check (two hashes of the set; null if empty), l, prefix of each row."""
     held = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # at most FREQUENT shingles
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = held.value
         for batch in slices(batches):
-            n, node, ls, ps = [], [], [], []
+            n, nodes, ls, ps = [], [], [], []
             for s in shingle_sets(raw(batch["text"]), shingle):
                 p, l = prefix(s, frequent, rank, percent) if len(s) else (s, 0)
                 n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
+                nodes.append(node_of(s, salt) if len(s) else (None, None))
                 ls.append(l)
                 ps.append(p.view("i8"))
             yield pa.record_batch({
                 "doc_id": batch["doc_id"],
                 "at": batch["at"],
                 "n": pa.array(n, pa.int64()),
-                "node": pa.array(node, pa.int64()),
+                "node": pa.array([x for x, _ in nodes], pa.int64()),
+                "check": pa.array([x for _, x in nodes], pa.int64()),
                 "l": pa.array(ls, pa.int32()),
                 "prefix": pa.array(ps, pa.list_(pa.int64())),
             })
 
-    return docs.mapInArrow(work, "doc_id long, at long, n long, node long, l int, prefix array<long>")
+    return docs.mapInArrow(work, "doc_id long, at long, n long, node long, check long, l int, prefix array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, salt: int) -> DataFrame:
     """node, shingles (packed) of the nodes in ``nodes`` (at, node), read from the texts once more.
 
-    A bit filter of fixed size over the rows that name a node spares most of the others.
+    A bit filter over the rows that name a node spares most of the others; it has about eight bits for each wanted row,
+    up to 2 ** FILTER_BITS. Beyond that, more of the other rows are read in vain and dropped by the join.
     """
-    bit = F.col("at") + 1  # Spark numbers a bitmap's values from 1
+    wanted = nodes.count()
+    size = 1 << min(FILTER_BITS, max(16, (8 * wanted).bit_length()))
+    bit = F.pmod("at", F.lit(size)) + 1  # Spark numbers a bitmap's values from 1
     found = nodes.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place"))
-    bits = np.zeros(FILTER_BITS // 8, "u1")
-    for r in found.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():  # FILTER_BITS in all
+    bits = np.zeros(size // 8, "u1")
+    for r in found.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():  # ``size`` bits in all
         bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], "u1")
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in slices(batches):
-            at = batch["at"].to_numpy()
+            at = batch["at"].to_numpy() & (size - 1)
             some = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype("u1")) & 1).astype(bool)))
             sets = [s for s in shingle_sets(raw(some["text"]), shingle) if len(s)]
-            yield pa.record_batch({"node": pa.array(list(map(node_of, sets)), pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.record_batch({"node": pa.array([node_of(s, salt)[0] for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     packed = docs.select("at", "text").mapInArrow(work, "node long, shingles binary")
     return packed.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -260,19 +269,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
 
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return both_sides(pairs, sets, "shingles").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
+def both_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b) with x and y, ``column`` of both nodes; a node in very many pairs is dealt over many tasks."""
+    x = nodes.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = nodes.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return join_hot(join_hot(pairs, x, "a", hot_keys(pairs, "a"), "b"), y, "b", hot_keys(pairs, "b"), "a")
+
 
+def lists(found: DataFrame, hot: list) -> DataFrame:
+    """token, node, n, l, i (place in the prefix), k (shared tokens before it), of the tokens that two nodes share.
 
-def lists(found: DataFrame) -> DataFrame:
-    """token, node, n, l, i (place in the prefix), k (shared tokens before it), of the tokens that two nodes share."""
-    rows = found.filter("node is not null").select("node", "n", "l", F.posexplode("prefix").alias("i", "token"))
-    ends = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = rows.join(ends.filter("lo <> hi").select("token"), "token", "left_semi")
-    shared = materialize(shared.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("i").alias("i")), "shared")
+    One shuffle of the prefixes by token tells which ones are shared; the tokens in ``hot`` are, without looking.
+    """
+    rows = found.filter("node is not null").select("node", F.posexplode("prefix").alias("i", "token"))
+    is_hot = F.col("token").isin(hot) if hot else F.lit(False)
+    one = lambda r: r.groupBy("token", "node").agg(F.min("i").alias("i"))  # noqa: E731  equal sets are one node
+    cold = one(rows.filter(~is_hot).repartition("token"))
+    cold = cold.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("size > 1").drop("size")
+    shared = materialize(cold.unionByName(one(rows.filter(is_hot))) if hot else cold, "shared")
+    sizes = found.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"))
     before = W.partitionBy("node").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    return materialize(shared.withColumn("k", F.coalesce(F.count(F.lit(1)).over(before), F.lit(0))), "lists")
+    return materialize(shared.join(sizes, "node").withColumn("k", F.count(F.lit(1)).over(before)), "lists")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -282,44 +302,61 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * overlap >= percent * (na + nb))
 
 
-def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int, frequent: np.ndarray, rank: np.ndarray, salt: int = 0) -> DataFrame:
     """a, b: links between nodes that join all that are connected. ``found``: describe()'s table."""
-    held = lists(found)
+    size = found.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    # no more than HOT times the number of shingles for each prefix entry
+    held = lists(found, frequent[rank > max(HOT, size // HOT)].view("i8").tolist())
+    hot = hot_keys(held, "token")
     named = materialize(found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at")), "named")
 
     def linked(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(_sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted"), shingle), "sets")
+        sets = materialize(_sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted"), shingle, salt), "sets")
         return materialize(_verify(pairs, sets, percent), "linked")
 
     # the centre of a list: the node with the fewest shingles of its own before the shared one
-    centre = materialize(held.groupBy("token").agg(F.min(F.struct("i", "n", "node", "k", "l")).alias("c")).select("token", "c.*"), "centres")
-    near = held.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))
-    stars = materialize(_enough(near), "stars")
+    centre = held.groupBy("token").agg(F.min(F.struct("i", "n", "node", "k", "l")).alias("b"))
+    near = join_hot(held.select("token", "node", F.struct("i", "n", "node", "k", "l").alias("a")), centre, "token", hot, "node")
+    stars = materialize(_enough(near.filter((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))), "stars")
     first = linked(stars)
 
     nodes = held.select("node").distinct()
     joined = nodes.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    now = held.join(materialize(joined, "joined"), "node")
+    now = materialize(held.join(joined, "node"), "joined")
     counts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     # all that two nodes of different components share is in lists of more than one component
-    rest = materialize(now.join(largest.filter("parts > 1"), "token"), "rest")
-    own = rest.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
-    rest = materialize(rest.join(own, "node"), "tokens")
-    both = F.array_intersect("a.tokens", "b.tokens")
-    pairs = rest.alias("a").join(
-        rest.filter("component <> main").alias("b"),
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.component") != F.col("b.component"))
-        & ((F.col("a.component") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
+    rest = materialize(join_hot(now, largest.filter("parts > 1").drop("parts"), "token", hot, "node"), "rest")
+    pairs = materialize(residual(rest, hot, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return first
+    # a pair needs as many shared prefix shingles as the smaller l
+    own = rest.groupBy("node").agg(F.struct(F.first("l").alias("l"), F.collect_list("token").alias("tokens")).alias("own"))
+    own = materialize(own, "own")
+    enough = both_sides(pairs, own, "own").filter(F.size(F.array_intersect("x.tokens", "y.tokens")) >= F.least("x.l", "y.l"))
+    return first.unionByName(linked(materialize(enough.select("a", "b"), "enough")))
+
+
+def residual(rest: DataFrame, hot: list, percent: int) -> DataFrame:
+    """a, b: the different pairs of nodes of different components that may link by a list that both are in.
+
+    The first shingle that two linked sets share lies in both their prefixes for l = 1, so that these alone are joined.
+    A row carries the LAST shared shingles before its own: where two rows have one in common, the pair is made by that.
+    """
+    last = W.partitionBy("node").orderBy("i").rowsBetween(-LAST, -1)
+    least = F.ceil(F.col("n") * percent / 100).cast("long")
+    rows = rest.withColumn("last", F.collect_list("token").over(last)).filter(F.col("i") <= F.col("n") - least)
+    side = F.struct("node", "n", "i", "k", "component", "last")
+    a = rows.select("token", "node", "main", side.alias("a"))
+    b = rows.filter("component <> main").select("token", side.alias("b"))
+    pairs = join_hot(a, b, "token", hot, "node").filter(
+        (F.col("a.component") != F.col("b.component"))
+        & ((F.col("a.component") == F.col("main")) | (F.col("a.node") < F.col("b.node")))
         & _may_link("a", "b", percent)
-        & (F.size(both) >= F.least("a.l", "b.l"))
-        & (both[0] == F.col("a.token")),  # a pair is made once, by the first shingle that both share
+        & ~F.arrays_overlap("a.last", "b.last")
     )
-    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return first if pairs.isEmpty() else first.unionByName(linked(pairs))
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def _enough(joined: DataFrame) -> DataFrame:
@@ -333,18 +370,25 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
 
     Words are split at white space after lower-casing A-Z; a set holds the distinct runs of ``shingle`` words, or the
     whole sequence of fewer. Rows link when 100 * intersection >= percent * union. A null or empty text, or one without words,
-    has an empty set, links with nothing and is its own component. Rows that repeat a doc_id are rows of their own; a null
-    doc_id is never a component's name unless all its rows have none. Other columns are ignored; no rows give no rows.
+    has an empty set, links with nothing and is its own component. Texts of any length are read whole. Rows that repeat a
+    doc_id are rows of their own; a null doc_id is never a component's name unless all its rows have none. Equal sets are
+    always in one component. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    docs = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
     frequent, rank = frequent_shingles(docs, FREQUENT, shingle)
-    found = materialize(describe(docs, frequent, rank, percent, shingle), "described")
-    labels = components(links(docs, found, percent, shingle))
-    named = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    joined = named.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    joined = materialize(joined, "named")
+    for salt in range(8):
+        found = materialize(describe(docs, frequent, rank, percent, shingle, salt), "described")
+        named = materialize(found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("check").alias("lo"), F.max("check").alias("hi")), "nodes")
+        if named.filter("lo <> hi").isEmpty():
+            break  # else two sets share a name: they get others
+    else:
+        raise RuntimeError("different sets have the same names")
+    labels = components(links(docs, found, percent, shingle, frequent, rank, salt))
+    joined = materialize(labels.join(named, "node").select("node", "least", "component"), "named")
     of = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    grouped = materialize(joined.join(of, "component").select("node", "component_id"), "grouped")
-    out = found.select("doc_id", "n", "node").join(grouped, "node", "left")
+    grouped = join_hot(joined, of, "component", hot_keys(joined, "component"), "node").select("node", "component_id")
+    grouped = materialize(named.join(grouped, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "grouped")
+    rows = found.select("doc_id", "at", "n", "node")
+    out = join_hot(rows, grouped, "node", hot_keys(rows, "node"), "at", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
