@@ -1,15 +1,17 @@
 """Corpus pipeline: language ID, exact dedup, near-duplicate join, benchmark decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows are
-told apart by doc_id; a row with a null doc_id passes the stages that compare documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+they are called. The stages that compare documents number the rows and drop by that number, so that rows which repeat a
+doc_id, or have none, are judged as rows of their own. No rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ribolens.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
-from ribolens.llm.common import materialize
+from ribolens.llm.common import materialize, numbered
 from ribolens.llm.queries import vocabulary
 
 #: A document without a language of at least this mean probability is rejected, besides those in no learned language,
@@ -19,31 +21,67 @@ LEAST_PROBABILITY = 0.0
 NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
+def _texts(rows: DataFrame, number: str) -> DataFrame:
+    """The rows by their numbers, as an operator wants them: doc_id, text."""
+    return rows.select(F.col(number).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, number: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose number isn't a doc_id of ``dropped``, without their numbers."""
+    gone = materialize(dropped.select(F.col("doc_id").alias(number)), "dropped")
+    return rows.join(gone, number, "left_anti").select(*(f"`{c}`" for c in rows.columns if c != number))
+
+
+def _others(rows: DataFrame, number: str, groups: DataFrame, best: Column) -> DataFrame:
+    """doc_id (row number) of all but one row of each group (doc_id, of): the one that ``best``, over id and doc_id, names."""
+    ids = rows.select(F.col(number).alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
+    kept = groups.join(ids, "doc_id").groupBy("of").agg(best.alias("best")).select(F.col("best.doc_id").alias("doc_id"))
+    return groups.select("doc_id").join(kept, "doc_id", "left_anti")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learned language, go."""
+    """Documents without a letter (null or empty ones too), or in no learned language by the field's certainty, go.
+
+    Texts of any length are judged whole, rows with equal or null ids each. Where no row has a lang to learn from, all go.
+    """
     return language_id.accepted(docs, LEAST_PROBABILITY)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    dropped = exact_dedup.exact_groups(docs).filter("not kept").select("doc_id")
-    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts the row with the largest doc_id stays, one row alone even if ids are equal or null.
+
+    A null id counts as smallest, a null text as empty; texts of any length are compared whole.
+    """
+    rows, number = numbered(docs, "exact")
+    groups = exact_dedup.exact_groups(_texts(rows, number)).filter("group_size > 1").select("doc_id", F.col("keep_id").alias("of"))
+    return _without(rows, number, _others(rows, number, materialize(groups, "groups"), F.max(F.struct("id", "doc_id"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are joined by links, the one with the smallest doc_id stays."""
-    dropped = ngram_join.similar_groups(docs, NEAR_PERCENT, NEAR_SHINGLE).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    """Of documents that are joined by links, the one with the smallest doc_id stays, one row alone even if ids are equal.
+
+    A null id counts as largest; a text that is null, or has no word, stays; texts of any length are compared whole.
+    """
+    rows, number = numbered(docs, "near")
+    found = materialize(ngram_join.similar_groups(_texts(rows, number), NEAR_PERCENT, NEAR_SHINGLE), "near-groups")
+    rest = found.filter("component_id <> doc_id").select("doc_id", F.col("component_id").alias("of"))
+    groups = rest.unionByName(rest.select(F.col("of").alias("doc_id"), "of").distinct())
+    return _without(rows, number, _others(rows, number, groups, F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, whatever their id; null and empty texts hold none and stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dropped = decontaminate.contamination(docs, items).filter("size(hits) > 0").select("doc_id")
-    return docs.join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    rows, number = numbered(docs, "benchmark")
+    return _without(rows, number, decontaminate.contamination(_texts(rows, number), items).filter("size(hits) > 0"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their ids, in sequences: packing.pack()'s rows.
+
+    A null or empty text is one end token; rows with equal or null ids are documents of their own; a text of any length is
+    packed whole.
+    """
     return packing.pack(docs, vocabulary())
 
 
