@@ -279,20 +279,56 @@ def both_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return join_hot(join_hot(pairs, x, "a", hot_keys(pairs, "a"), "b"), y, "b", hot_keys(pairs, "b"), "a")
 
 
-def lists(found: DataFrame, hot: list) -> DataFrame:
+def _least(n: str, percent: int) -> Column:
+    """needed() in SQL."""
+    return F.ceil(F.col(n) * percent / 100).cast("long")
+
+
+def lists(found: DataFrame, hot: list, percent: int) -> DataFrame:
     """token, node, n, l, i (place in the prefix), k (shared tokens before it), of the tokens that two nodes share.
 
-    One shuffle of the prefixes by token tells which ones are shared; the tokens in ``hot`` are, without looking.
+    One shuffle of the prefixes by token (i, n and l travel as one number) tells which ones are shared by nodes of such
+    sizes that they may link, and the least l of each list; the tokens in ``hot`` are, without looking. Then entries go
+    that no link can use: those behind more unshared tokens than a link allows, and all of a node that has fewer shared
+    tokens than its own l and than the least one in its lists. They go again as long as lists become shorter by much.
     """
-    rows = found.filter("node is not null").select("node", F.posexplode("prefix").alias("i", "token"))
+    rows = found.filter("node is not null").select("node", "n", "l", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("token", "node", (F.shiftleft(F.col("i").cast("long"), 33) + F.shiftleft("n", 3) + F.col("l")).alias("all"))
     is_hot = F.col("token").isin(hot) if hot else F.lit(False)
-    one = lambda r: r.groupBy("token", "node").agg(F.min("i").alias("i"))  # noqa: E731  equal sets are one node
-    cold = one(rows.filter(~is_hot).repartition("token"))
-    cold = cold.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("size > 1").drop("size")
-    shared = materialize(cold.unionByName(one(rows.filter(is_hot))) if hot else cold, "shared")
-    sizes = found.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"))
-    before = W.partitionBy("node").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    return materialize(shared.join(sizes, "node").withColumn("k", F.count(F.lit(1)).over(before)), "lists")
+    one = lambda r: r.groupBy("token", "node").agg(F.min("all").alias("all")).select("token", "node", F.shiftright("all", 33).alias("i"), (F.shiftright("all", 3) % (1 << 30)).alias("n"), (F.col("all") % 8).alias("l"))  # noqa: E731  equal sets are one node
+    shared = _shared(one(rows.filter(~is_hot).repartition("token")), percent)
+    if hot:
+        common = one(rows.filter(is_hot))
+        shared = shared.unionByName(common.join(F.broadcast(common.groupBy("token").agg(F.min("l").alias("least"))), "token"))  # a row for each hot token
+    held = _useful(shared, percent)
+    size = held.count()
+    while True:
+        is_hot = F.col("token").isin(some) if (some := hot_keys(held, "token")) else F.lit(False)
+        rows = held.drop("k")
+        again = _shared(rows.filter(~is_hot), percent)
+        if some:
+            common = rows.filter(is_hot)
+            again = again.unionByName(common.join(F.broadcast(common.groupBy("token").agg(F.min("l").alias("least"))), "token"))  # under HOT rows
+        held, before = _useful(again, percent), size
+        size = held.count()
+        if 2 * size > before:
+            return held
+
+
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, node, i, n, l) whose token another node has that is as large as a link needs, with their list's least l."""
+    by = W.partitionBy("token")
+    near = lambda a, b: F.coalesce(100 * F.col(a) >= percent * F.col(b), F.lit(False))  # noqa: E731  a: the smaller size
+    neighbours = {"below": F.lag("n").over(by.orderBy("n")), "above": F.lead("n").over(by.orderBy("n")), "least": F.min("l").over(by)}
+    return rows.withColumns(neighbours).filter(near("below", "n") | near("n", "above")).drop("below", "above")
+
+
+def _useful(shared: DataFrame, percent: int) -> DataFrame:
+    of = W.partitionBy("node")
+    before = of.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    rows = shared.withColumns({"k": F.count(F.lit(1)).over(before), "all": F.count(F.lit(1)).over(of), "few": F.min("least").over(of)})
+    rows = rows.filter((F.col("all") >= F.least("l", "few")) & (F.col("i") - F.col("k") <= F.col("n") - _least("n", percent)))
+    return materialize(rows.select("token", "node", "n", "l", "i", "k"), "lists")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -306,13 +342,13 @@ def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int, frequen
     """a, b: links between nodes that join all that are connected. ``found``: describe()'s table."""
     size = found.agg(F.sum(F.size("prefix"))).first()[0] or 0
     # no more than HOT times the number of shingles for each prefix entry
-    held = lists(found, frequent[rank > max(HOT, size // HOT)].view("i8").tolist())
+    held = lists(found, frequent[rank > max(HOT, size // HOT)].view("i8").tolist(), percent)
     hot = hot_keys(held, "token")
     named = materialize(found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at")), "named")
 
     def linked(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(_sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted"), shingle, salt), "sets")
+        sets = _sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted"), shingle, salt)
         return materialize(_verify(pairs, sets, percent), "linked")
 
     # the centre of a list: the node with the fewest shingles of its own before the shared one
@@ -345,8 +381,7 @@ def residual(rest: DataFrame, hot: list, percent: int) -> DataFrame:
     A row carries the LAST shared shingles before its own: where two rows have one in common, the pair is made by that.
     """
     last = W.partitionBy("node").orderBy("i").rowsBetween(-LAST, -1)
-    least = F.ceil(F.col("n") * percent / 100).cast("long")
-    rows = rest.withColumn("last", F.collect_list("token").over(last)).filter(F.col("i") <= F.col("n") - least)
+    rows = rest.withColumn("last", F.collect_list("token").over(last)).filter(F.col("i") <= F.col("n") - _least("n", percent))
     side = F.struct("node", "n", "i", "k", "component", "last")
     a = rows.select("token", "node", "main", side.alias("a"))
     b = rows.filter("component <> main").select("token", side.alias("b"))
