@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts
+from .common import freeing, materialize, slices, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWERED = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -114,7 +114,7 @@ def _pass(docs: DataFrame, items: list[tuple[object, str]], n: int) -> DataFrame
                 "items": pa.array(ids, pa.list_(pa.string())),
             })
 
-    return docs.mapInArrow(search, FOUND)
+    return docs.mapInArrow(freeing(search), FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

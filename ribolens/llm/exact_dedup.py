@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallel, raw, slices
+from .common import freeing, materialize, parallel, raw, slices
 
 ENTRY = np.dtype([("a", ">u8"), ("b", ">u8"), ("c", ">u8"), ("d", ">u8"), ("size", ">i8"), ("best", "<i8"), ("n", "<i8")])
 HEAD = np.dtype(ENTRY.descr[:5])
@@ -44,7 +44,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 "size": pa.array(list(map(len, low)), pa.int64()),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digest, "doc_id long, digest binary, size long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freeing(digest), "doc_id long, digest binary, size long")
 
 
 def collapse(entries: np.ndarray) -> np.ndarray:

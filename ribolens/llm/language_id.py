@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, texts
+from .common import freeing, held_out, slices, texts
 
 #: A run of letters; a longer one counts as several words, one after the other.
 WORD = re.compile(r"[^\W\d_]{1,40}")
@@ -35,7 +35,7 @@ SAMPLE, READ = 250, 400
 LEXICON = 500
 #: Words whose scores a task remembers; words of a chunk of the forward and backward passes; words that are labelled at
 #: once, if they are of more than one text.
-KNOWN, CHUNK, AT_ONCE = 100_000, 32, 1 << 16
+KNOWN, CHUNK, AT_ONCE = 100_000, 32, 1 << 14
 UNKNOWN = "und"
 #: The floors are calibrated on texts of up to 2 ** LENGTHS words, and on JUNK texts of random letters for each length.
 #: Quantiles, of the certainty of learned texts and of these, that a few odd texts of either kind do not move.
@@ -411,7 +411,7 @@ def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = S
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(freeing(work), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, training: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -429,7 +429,7 @@ def label_words(docs: DataFrame, training: DataFrame | None = None, sample: int
             yield pa.record_batch({"doc_id": batch["doc_id"], "words": pa.array(words, pa.list_(kind))})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, words array<struct<start:long,end:long,label:string,probability:double>>")
+    return rows.mapInArrow(freeing(work), "doc_id long, words array<struct<start:long,end:long,label:string,probability:double>>")
 
 
 def accepted(docs: DataFrame, minimum: float, sample: int = SAMPLE) -> DataFrame:
@@ -443,4 +443,4 @@ def accepted(docs: DataFrame, minimum: float, sample: int = SAMPLE) -> DataFrame
             _, score, sure = judge(texts(batch["text"]))
             yield batch.filter(pa.array([ok and s >= minimum for s, ok in zip(score, sure)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(freeing(work), docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import HOT, hot_keys, join_hot, materialize, raw, slices
+from .common import HOT, freeing, hot_keys, join_hot, materialize, raw, slices
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -197,7 +197,7 @@ def frequent_shingles(docs: DataFrame, top: int, shingle: int) -> tuple[np.ndarr
         if held:
             yield out()
 
-    rows = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(top).toArrow()
+    rows = docs.select("text").mapInArrow(freeing(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(top).toArrow()
     h, n = rows["h"].to_numpy().view("u8"), rows["n"].to_numpy()
     order = np.argsort(h)
     return np.ascontiguousarray(h[order]), np.ascontiguousarray(n[order])
@@ -227,7 +227,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: i
                 "prefix": pa.array(ps, pa.list_(pa.int64())),
             })
 
-    return docs.mapInArrow(work, "doc_id long, at long, n long, node long, check long, l int, prefix array<long>")
+    return docs.mapInArrow(freeing(work), "doc_id long, at long, n long, node long, check long, l int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, salt: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, salt: int) -> DataFra
             sets = [s for s in shingle_sets(raw(some["text"]), shingle) if len(s)]
             yield pa.record_batch({"node": pa.array([node_of(s, salt)[0] for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    packed = docs.select("at", "text").mapInArrow(work, "node long, shingles binary")
+    packed = docs.select("at", "text").mapInArrow(freeing(work), "node long, shingles binary")
     return packed.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -269,7 +269,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
 
-    return both_sides(pairs, sets, "shingles").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return both_sides(pairs, sets, "shingles").select("a", "b", "x", "y").mapInArrow(freeing(work), "a long, b long")
 
 
 def both_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
@@ -290,7 +290,7 @@ def lists(found: DataFrame, hot: list, percent: int) -> DataFrame:
     One shuffle of the prefixes by token (i, n and l travel as one number) tells which ones are shared by nodes of such
     sizes that they may link, and the least l of each list; the tokens in ``hot`` are, without looking. Then entries go
     that no link can use: those behind more unshared tokens than a link allows, and all of a node that has fewer shared
-    tokens than its own l and than the least one in its lists. They go again as long as lists become shorter by much.
+    tokens than its own l and than the least one in its lists. They go again as long as this halves the lists.
     """
     rows = found.filter("node is not null").select("node", "n", "l", F.posexplode("prefix").alias("i", "token"))
     rows = rows.select("token", "node", (F.shiftleft(F.col("i").cast("long"), 33) + F.shiftleft("n", 3) + F.col("l")).alias("all"))
@@ -311,7 +311,7 @@ def lists(found: DataFrame, hot: list, percent: int) -> DataFrame:
             again = again.unionByName(common.join(F.broadcast(common.groupBy("token").agg(F.min("l").alias("least"))), "token"))  # under HOT rows
         held, before = _useful(again, percent), size
         size = held.count()
-        if 2 * size > before:
+        if 2 * size >= before:
             return held
 
 

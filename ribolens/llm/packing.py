@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import freeing, slices, texts
 
 CAPACITY = 1024
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         yield batch_of(list(bins.close()))
         parts.words.clear()  # an idle worker holds no words
 
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECE)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freeing(work), PIECE)
     return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -220,4 +220,4 @@ def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
             })
 
     rows = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
-    return rows.mapInArrow(work, "sequence_id long, length long, ids array<int>")
+    return rows.mapInArrow(freeing(work), "sequence_id long, length long, ids array<int>")
