@@ -225,17 +225,52 @@ def test_urls_without_training(spark):
     assert tuple(url_filter.judge(one).first())[3:] == (None, "allow", 0.0)
 
 
-def test_markov_is_a_distribution():
-    urls = ["http://a.b/c", "http://a.b/d"]
-    gram, context, kinds = (np.zeros((url_filter.ORDER + 1, 1 << url_filter.BITS)) for _ in range(3))
-    pairs = set()
+def model_of(urls, most=None):
+    n = Counter(k for u in urls for _, found in url_filter.keys([u]) for k in found.reshape(-1).tolist())
+    kept = sorted(n.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return url_filter.Markov(np.array([k for k, _ in kept]), np.array([c for _, c in kept]))
+
+
+@pytest.mark.parametrize("most", [None, 500])
+def test_markov_is_a_distribution(most):
+    """The 256 bytes and the end add up to 1 after seen, partly seen and unseen contexts, also of a cut model."""
+    dice = random.Random(3)
+    m = model_of(["http://" + "".join(dice.choices("abcxyz/.é", k=dice.randint(1, 30))) for _ in range(300)], most)
+    for before in ("http", "http:", "", "abcab", "q?q?q", "xyz/q", "é"):
+        base = np.stack([url_filter.keys([before]).__next__()[1][:, -1]], 1)  # the end after ``before``
+        every = np.concatenate([base - url_filter.END + s for s in [*range(256), url_filter.END]], 1)
+        assert abs(np.exp(m.log_probabilities(every)).sum() - 1) < 1e-9
+
+
+def test_markov_against_brute_force(monkeypatch):
+    dice = random.Random(4)
+    urls = ["http://" + "".join(dice.choices("abc/.", k=dice.randint(0, 25))) for _ in range(80)]
+    pad = lambda u: [256] * url_filter.ORDER + list(u.encode()) + [257]
+    n, after = Counter(), {}
     for u in urls:
-        c, g = url_filter._cells(u)
-        for k in range(url_filter.ORDER + 1):
-            np.add.at(gram[k], g[k], 1)
-            np.add.at(context[k], c[k], 1)
-            pairs |= {(k, x, y) for x, y in zip(c[k].tolist(), g[k].tolist())}
-    for k, x, _ in pairs:
-        kinds[k, x] += 1
-    m = url_filter.Markov(gram).add_contexts(context, kinds)
-    assert m.log_likelihood(*url_filter._cells(urls[0])) > m.log_likelihood(*url_filter._cells("http://q.z/c"))
+        s = pad(u)
+        for i in range(url_filter.ORDER, len(s)):
+            for k in range(url_filter.ORDER + 1):
+                c = tuple(s[i - k : i])
+                n[c, s[i]] += 1
+                after.setdefault(c, Counter())[s[i]] += 1
+
+    def log_likelihood(u):
+        s, total = pad(u), 0.0
+        for i in range(url_filter.ORDER, len(s)):
+            p = 1 / 257
+            for k in range(url_filter.ORDER + 1):
+                c = after.get(tuple(s[i - k : i]))
+                if c:
+                    p = (c[s[i]] + len(c) * p) / (c.total() + len(c))
+            total += math.log(p)
+        return total
+
+    m = model_of(urls)
+    flat = url_filter.Markov(np.zeros(0, "i8"), np.zeros(0, "i8"))
+    some = [urls[0], "", "http://q.z/c", "ü" * 30, "http://abc" * 20]
+    want = [(log_likelihood(u) + math.log(257) * (len(u.encode()) + 1)) / (len(u.encode()) + 1) for u in some]
+    for piece in (url_filter.PIECE, 7):
+        monkeypatch.setattr(url_filter, "PIECE", piece)
+        assert np.allclose(url_filter.differences({"block": m, "allow": flat}, some), want, atol=1e-9)
+
