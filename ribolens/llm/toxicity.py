@@ -2,8 +2,8 @@
 
 A document's features are its distinct character n-grams, hashed. The naive Bayes ratio r of a feature is
 log((p + 1) / |p|) - log((q + 1) / |q|) over the documents of each label; a logistic regression is fitted on the
-features times r. The fit uses at most ``SAMPLE`` labelled rows of each label, the ones with the smallest hash of the
-id; scores cover every row.
+features times r, those whose rates differ by ``ERRORS`` standard errors. The fit uses at most ``SAMPLE`` labelled rows of each label with ``ENTRIES`` features in all,
+the ones with the smallest hash of the id, so that what the driver holds is bounded; scores cover every row.
 """
 
 from __future__ import annotations
@@ -13,17 +13,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, texts
+from .common import held_out, materialize, slices, texts
 
 ORDERS = (3, 4, 5)
 BITS = 18
-#: Labelled rows of each label that the fit uses at most.
-SAMPLE = 2000
-#: Features that the fit keeps: those that tell the labels apart best.
-FEATURES = 2048
+#: Labelled rows of each label that the fit uses at most, and features of theirs in all.
+SAMPLE, ENTRIES = 2000, 1 << 23
+#: A feature has a weight if its rates in the two labels differ by this many standard errors; others are noise to the fit.
+ERRORS = 3.0
 #: Characters that are turned into n-grams at once.
 STEP = 1 << 20
 
@@ -53,7 +53,7 @@ def grams(text: str, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     return found
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = BITS, rounds: int = 200, features: int = FEATURES, l2: float = 2e-2) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = BITS, rounds: int = 200, l2: float = 2e-2) -> tuple[np.ndarray, float]:
     """Weight of each feature (times its ratio) and the bias."""
     size = 1 << bits
     if not len(rows) or labels.min() == labels.max():  # nothing to tell apart
@@ -65,12 +65,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
         in_label[int(y)][r] += 1
     count = in_label[0] + in_label[1]
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    # the features whose rates differ most between the labels, in standard errors
     rate = count / n.sum()
     error = np.sqrt(np.maximum(rate * (1 - rate) * (1 / n[0] + 1 / n[1]), 1e-12))
-    apart = np.where(count >= 2, np.abs(in_label[1] / n[1] - in_label[0] / n[0]) / error, 0)
-    ids = np.sort(np.argsort(-apart, kind="stable")[:features])
-    ids = ids[apart[ids] > 0]
+    apart = np.abs(in_label[1] / n[1] - in_label[0] / n[0])
+    ids = np.flatnonzero((count > 0) & (apart >= ERRORS * error))
+    if not len(ids):  # a few rows: no feature's rates differ by so much
+        ids = np.flatnonzero(count)
     kept = np.full(size, -1, "i4")
     kept[ids] = np.arange(len(ids))
     rows = [k[k >= 0] for r in rows for k in (kept[r],)]
@@ -114,17 +114,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = None
     for y in counts:
-        some = known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        some = known.filter(F.col("label") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
         return np.zeros(1 << BITS), -20.0
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.record_batch({"label": batch["label"], "grams": pa.array([grams(t).tobytes() for t in texts(batch["text"])], pa.binary())})
+            g = [grams(t) for t in texts(batch["text"])]
+            yield pa.record_batch({"h": batch["h"], "label": batch["label"], "size": pa.array(list(map(len, g)), pa.int64()), "grams": pa.array([x.tobytes() for x in g], pa.binary())})
 
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = text.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "label int, grams binary").toArrow()  # at most 2 x sample ids
+    found = text.join(F.broadcast(chosen), "doc_id").select("h", "label", "text").mapInArrow(features, "h long, label int, size long, grams binary")  # at most 2 x sample ids
+    found = materialize(found, "labelled")
+    # the first rows by hash that have at most ENTRIES features together
+    order = Window.partitionBy("label").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = found.select("h", "label", "size").withColumn("sum", F.sum("size").over(order)).groupBy("label").agg(F.max(F.when(F.col("sum") <= ENTRIES, F.col("h"))).alias("last"))
+    found = found.join(F.broadcast(sizes), "label").filter("h <= last").toArrow()
     rows = [np.frombuffer(g, "i4") for g in found["grams"].to_pylist()]
     y = found["label"].to_numpy().astype("f8")
     share = {k: n / max(1, (y == k).sum()) for k, n in counts.items()}
@@ -138,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     A null text counts as empty and scores by the classifier's bias; so does any text if labels hold one value alone,
     and without usable labels every score is near 0. A null doc_id counts as held out. Rows that repeat a doc_id are each
-    scored; columns but doc_id, text, toxic are ignored; no rows give no rows.
+    scored; texts of any length are scored whole; columns but doc_id, text, toxic are ignored; no rows give no rows.
     """
     weights, bias = train(docs, labels, sample)
     held = docs.sparkSession.sparkContext.broadcast((weights.astype("f4"), bias))  # 2 ** BITS numbers
