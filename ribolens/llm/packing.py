@@ -30,7 +30,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 #: white space, nor from anything else to white space.
 PART = re.compile(rf"[{_WS}]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{_WS}!-/:-@\[-`{{-~]|\Z)|[^{_WS}]+|\Z)")
 #: Words whose ids a task remembers; characters given to the tokenizer at once.
-KNOWN, LONG = 300_000, 1 << 16
+KNOWN, LONG = 100_000, 1 << 16
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -83,14 +83,21 @@ class Words(dict):
 class Parts:
     """The ids of whole texts. Words of a Latin-1 text are looked up; other texts go to the tokenizer part by part."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = {} if special_as_text else {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = Words(self.tokenizer.model)
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            return b"".join(_little([self.special[t]]) if t in self.special else self._ids(t) for t in self.split.split(text))
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
         if not text:
             return b""
         if latin(text):
@@ -110,8 +117,8 @@ class Parts:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Parts:
-    return Parts(path)
+def tokenizer(path: str, special_as_text: bool = False) -> Parts:
+    return Parts(path, special_as_text)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -174,17 +181,18 @@ class Bins:
             yield from self._seal(bin_)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit, as bytes), ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are those of the tokenizer file ``vocabulary`` without special tokens, then ``end_id``; a null or
-    empty text is ``end_id`` alone. Each id lies in exactly one piece; a sequence's pieces lie at offsets without gaps
+    A document's ids are those of the tokenizer file ``vocabulary`` with none added, then ``end_id``; a special token's string
+    in a text gives its id, or with ``special_as_text`` the ids of ordinary text. A null or empty text is ``end_id`` alone;
+    texts of any length are read whole; columns but doc_id and text are ignored. Each id lies in exactly one piece; a sequence's pieces lie at offsets without gaps
     and fill ``capacity`` at most. sequence_id holds the worker's partition, so workers number alone. Rows that repeat a
     doc_id, or have a null one, are packed as documents of their own. No rows give no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = tokenizer(vocabulary)
+        parts = tokenizer(vocabulary, special_as_text)
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
         end = end_id.to_bytes(4, "little")
 

@@ -62,7 +62,6 @@ def test_merge_of_blocks_streams():
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return t
 
 
@@ -74,10 +73,18 @@ def test_ids_are_the_tokenizers(plain):
             t = "".join(dice.choices(letters, k=dice.randint(0, 40)))
             want = plain.encode(t, add_special_tokens=False).ids
             assert np.frombuffer(parts.ids(t), "<u4").tolist() == want, repr(t)
-    for t in ("<|endoftext|>", "don't 's 'll", "a" * 70000 + " b" * 9, "中" * 200 + " x\n" * 50000):
+    for t in ("<|endoftext|>", "a <|endoftext|> b", "é<|endoftext|><|endoftext|>中 <|endo", "don't 's 'll", "a" * 70000 + " b" * 9, "中" * 200 + " x\n" * 50000):
         assert np.frombuffer(parts.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_special_strings_as_text():
+    t = Tokenizer.from_file(vocabulary())
+    t.encode_special_tokens = True
+    parts = packing.tokenizer(vocabulary(), True)
+    for text in ("a <|endoftext|> b", "é 中<|endoftext|>"):
+        assert np.frombuffer(parts.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces(make, odd, plain):
     got = packing.pack(make(odd).repartition(3), vocabulary()).collect()
     want = Counter()
