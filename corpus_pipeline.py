@@ -21,6 +21,14 @@ LEAST_PROBABILITY = 0.0
 NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
+#: Rows of an Arrow batch: whole texts are held twice on their way to a Python worker and back.
+BATCH = 1000
+
+
+def _batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def _texts(rows: DataFrame, number: str) -> DataFrame:
     """The rows by their numbers, as an operator wants them: doc_id, text."""
     return rows.select(F.col(number).alias("doc_id"), "text")
@@ -44,6 +52,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts of any length are judged whole, rows with equal or null ids each. Where no row has a lang to learn from, all go.
     """
+    _batches(spark)
     return language_id.accepted(docs, LEAST_PROBABILITY)
 
 
@@ -52,6 +61,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null id counts as smallest, a null text as empty; texts of any length are compared whole.
     """
+    _batches(spark)
     rows, number = numbered(docs, "exact")
     groups = exact_dedup.exact_groups(_texts(rows, number)).filter("group_size > 1").select("doc_id", F.col("keep_id").alias("of"))
     return _without(rows, number, _others(rows, number, materialize(groups, "groups"), F.max(F.struct("id", "doc_id"))))
@@ -62,6 +72,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null id counts as largest; a text that is null, or has no word, stays; texts of any length are compared whole.
     """
+    _batches(spark)
     rows, number = numbered(docs, "near")
     found = materialize(ngram_join.similar_groups(_texts(rows, number), NEAR_PERCENT, NEAR_SHINGLE), "near-groups")
     rest = found.filter("component_id <> doc_id").select("doc_id", F.col("component_id").alias("of"))
@@ -71,6 +82,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, whatever their id; null and empty texts hold none and stay."""
+    _batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, number = numbered(docs, "benchmark")
     return _without(rows, number, decontaminate.contamination(_texts(rows, number), items).filter("size(hits) > 0"))
@@ -82,6 +94,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one end token; rows with equal or null ids are documents of their own; a text of any length is
     packed whole.
     """
+    _batches(spark)
     return packing.pack(docs, vocabulary())
 
 
