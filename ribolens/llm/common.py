@@ -48,7 +48,14 @@ def release(spark: SparkSession) -> None:
 
 
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, written so that every reading gives a row the same number; the number's column."""
+    """``docs`` with a number for each row, and the number's column.
+
+    Where each row has a doc_id of its own, that is its number; else rows are numbered and written, so that every reading
+    gives a row the same number.
+    """
+    ids = F.col("doc_id")
+    if dict(docs.dtypes)["doc_id"] == "bigint" and docs.groupBy(ids).agg(F.count(F.lit(1)).alias("n")).filter(ids.isNull() | (F.col("n") > 1)).isEmpty():
+        return docs, "doc_id"
     column = "row"
     while column.lower() in map(str.lower, docs.columns):
         column += "_"

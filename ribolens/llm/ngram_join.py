@@ -285,12 +285,13 @@ def _least(n: str, percent: int) -> Column:
 
 
 def lists(found: DataFrame, hot: list, percent: int) -> DataFrame:
-    """token, node, n, l, i (place in the prefix), k (shared tokens before it), of the tokens that two nodes share.
+    """token, node, n, l, i (place in the prefix), k (shared tokens before it), weight, of the tokens that two nodes share.
 
     One shuffle of the prefixes by token (i, n and l travel as one number) tells which ones are shared by nodes of such
     sizes that they may link, and the least l of each list; the tokens in ``hot`` are, without looking. Then entries go
     that no link can use: those behind more unshared tokens than a link allows, and all of a node that has fewer shared
-    tokens than its own l and than the least one in its lists. They go again as long as this halves the lists.
+    tokens than its own l and than the least one in its lists. Of tokens with the very same nodes the first in the global
+    order stands for all, by the sum of the nodes' hashes; ``weight`` is their number.
     """
     rows = found.filter("node is not null").select("node", "n", "l", F.posexplode("prefix").alias("i", "token"))
     rows = rows.select("token", "node", (F.shiftleft(F.col("i").cast("long"), 33) + F.shiftleft("n", 3) + F.col("l")).alias("all"))
@@ -299,28 +300,21 @@ def lists(found: DataFrame, hot: list, percent: int) -> DataFrame:
     shared = _shared(one(rows.filter(~is_hot).repartition("token")), percent)
     if hot:
         common = one(rows.filter(is_hot))
-        shared = shared.unionByName(common.join(F.broadcast(common.groupBy("token").agg(F.min("l").alias("least"))), "token"))  # a row for each hot token
-    held = _useful(shared, percent)
-    size = held.count()
-    while True:
-        is_hot = F.col("token").isin(some) if (some := hot_keys(held, "token")) else F.lit(False)
-        rows = held.drop("k")
-        again = _shared(rows.filter(~is_hot), percent)
-        if some:
-            common = rows.filter(is_hot)
-            again = again.unionByName(common.join(F.broadcast(common.groupBy("token").agg(F.min("l").alias("least"))), "token"))  # under HOT rows
-        held, before = _useful(again, percent), size
-        size = held.count()
-        if 2 * size >= before:
-            return held
+        shared = shared.unionByName(common.join(F.broadcast(common.groupBy("token").agg(F.min("l").alias("least"), F.lit(None).cast("decimal(38,0)").alias("nodes"))), "token"))  # a row for each hot token
+    return _useful(shared, percent)
 
 
 def _shared(rows: DataFrame, percent: int) -> DataFrame:
     """The rows (token, node, i, n, l) whose token another node has that is as large as a link needs, with their list's least l."""
     by = W.partitionBy("token")
     near = lambda a, b: F.coalesce(100 * F.col(a) >= percent * F.col(b), F.lit(False))  # noqa: E731  a: the smaller size
-    neighbours = {"below": F.lag("n").over(by.orderBy("n")), "above": F.lead("n").over(by.orderBy("n")), "least": F.min("l").over(by)}
-    return rows.withColumns(neighbours).filter(near("below", "n") | near("n", "above")).drop("below", "above")
+    columns = {"below": F.lag("n").over(by.orderBy("n")), "above": F.lead("n").over(by.orderBy("n")), "least": F.min("l").over(by), "nodes": F.sum(_hash("node")).over(by)}
+    return rows.withColumns(columns).filter(near("below", "n") | near("n", "above")).drop("below", "above")
+
+
+def _hash(c: str) -> Column:
+    """A number of over 120 bits, most of them random; sums of up to 2 ** 20 of them don't overflow a decimal."""
+    return F.xxhash64(c, F.lit(1)).cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(18,0)") + F.pmod(F.xxhash64(c, F.lit(2)), F.lit(1 << 40))
 
 
 def _useful(shared: DataFrame, percent: int) -> DataFrame:
@@ -328,7 +322,10 @@ def _useful(shared: DataFrame, percent: int) -> DataFrame:
     before = of.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     rows = shared.withColumns({"k": F.count(F.lit(1)).over(before), "all": F.count(F.lit(1)).over(of), "few": F.min("least").over(of)})
     rows = rows.filter((F.col("all") >= F.least("l", "few")) & (F.col("i") - F.col("k") <= F.col("n") - _least("n", percent)))
-    return materialize(rows.select("token", "node", "n", "l", "i", "k"), "lists")
+    same = W.partitionBy("node", "nodes")
+    rows = rows.withColumns({"first": F.min("i").over(same), "weight": F.count(F.lit(1)).over(same)})
+    rows = rows.filter(F.col("nodes").isNull() | (F.col("i") == F.col("first"))).withColumn("weight", F.when(F.col("nodes").isNull(), 1).otherwise(F.least("weight", F.lit(MOST))))
+    return materialize(rows.select("token", "node", "n", "l", "i", "k", "weight"), "lists")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -353,7 +350,7 @@ def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int, frequen
 
     # the centre of a list: the node with the fewest shingles of its own before the shared one
     centre = held.groupBy("token").agg(F.min(F.struct("i", "n", "node", "k", "l")).alias("b"))
-    near = join_hot(held.select("token", "node", F.struct("i", "n", "node", "k", "l").alias("a")), centre, "token", hot, "node")
+    near = join_hot(held.select("token", "node", F.struct("i", "n", "node", "k", "l", "weight").alias("a")), centre, "token", hot, "node")
     stars = materialize(_enough(near.filter((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))), "stars")
     first = linked(stars)
 
@@ -368,7 +365,7 @@ def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int, frequen
     if pairs.isEmpty():
         return first
     # a pair needs as many shared prefix shingles as the smaller l
-    own = rest.groupBy("node").agg(F.struct(F.first("l").alias("l"), F.collect_list("token").alias("tokens")).alias("own"))
+    own = rest.groupBy("node").agg(F.struct(F.first("l").alias("l"), F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), "weight"), lambda j: F.xxhash64("token", j)))).alias("tokens")).alias("own"))
     own = materialize(own, "own")
     enough = both_sides(pairs, own, "own").filter(F.size(F.array_intersect("x.tokens", "y.tokens")) >= F.least("x.l", "y.l"))
     return first.unionByName(linked(materialize(enough.select("a", "b"), "enough")))
@@ -396,8 +393,8 @@ def residual(rest: DataFrame, hot: list, percent: int) -> DataFrame:
 
 def _enough(joined: DataFrame) -> DataFrame:
     """a, b: the pairs that share as many prefix shingles as the smaller of both documents' l."""
-    pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), F.least("a.l", "b.l").alias("l"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("l").alias("l")).filter("shared >= l").select("a", "b")
+    pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), F.least("a.l", "b.l").alias("l"), "a.weight")
+    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.first("l").alias("l")).filter("shared >= l").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
