@@ -1,8 +1,8 @@
 """Corpus pipeline: language ID, exact dedup, near-duplicate join, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
-they are called. The stages that compare documents number the rows and drop by that number, so that rows which repeat a
-doc_id, or have none, are judged as rows of their own. No rows give no rows.
+they are called. The stages that compare documents drop rows by a number: the doc_id if each row has its own, else one given
+to each row, so that rows which repeat a doc_id, or have none, are judged as rows of their own. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ def _texts(rows: DataFrame, number: str) -> DataFrame:
 
 
 def _without(rows: DataFrame, number: str, dropped: DataFrame) -> DataFrame:
-    """The rows whose number isn't a doc_id of ``dropped``, without their numbers."""
+    """The rows whose number isn't a doc_id of ``dropped``, without the numbers that aren't ids."""
     gone = materialize(dropped.select(F.col("doc_id").alias(number)), "dropped")
-    return rows.join(gone, number, "left_anti").select(*(f"`{c}`" for c in rows.columns if c != number))
+    return rows.join(gone, number, "left_anti").select(*(f"`{c}`" for c in rows.columns if c == "doc_id" or c != number))
 
 
 def _others(rows: DataFrame, number: str, groups: DataFrame, best: Column) -> DataFrame:
