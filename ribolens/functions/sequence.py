@@ -30,10 +30,6 @@ def base_percent(seq: Column | str, bases: str) -> Column:
     return percent(reduce(Column.__add__, [base_count(seq, b) for b in bases]), F.length(seq))
 
 
-def log2_or_zero(v: Column) -> Column:
-    return F.when(v > 0, F.log2(v)).otherwise(0.0)
-
-
 def entropy(counts: list[Column], empty: float | None) -> Column:
     """Shannon entropy, base 2, of the shares of ``counts``; ``empty`` where they sum to 0."""
     total = reduce(Column.__add__, counts)
@@ -43,19 +39,24 @@ def entropy(counts: list[Column], empty: float | None) -> Column:
 
 
 def sequence_entropy(seq: Column | str) -> Column:
-    """Entropy over A, C, G, T; 0 for a sequence without any of them."""
-    return entropy([base_count(seq, b) for b in BASES], 0.0)
+    """Entropy over A, C, G, T; 0 for a sequence without any of them. The counts are made once, as the lambda's variable."""
+    counts = F.array(*[base_count(seq, b) for b in BASES])
+    return F.transform(F.array(counts), lambda n: entropy([n[i] for i in range(len(BASES))], 0.0))[0]
 
 
 def hexamer_matrix(seq: Column | str) -> dict[str, Column]:
-    """a1..a6, g1..g6, c1..c6, t1..t6: the share of the windows of six whose j-th base is that one; null under length 6."""
+    """a1..a6, g1..g6, c1..c6, t1..t6: the share of the windows of six whose j-th base is that one; null under length 6.
+
+    The j-th bases of all windows are the sequence without its first j - 1 and last 6 - j bases, so that a base is counted
+    once over the whole sequence; the count stands outside of any condition, where Spark shares it among the columns.
+    """
     seq = column(seq)
     windows = F.length(seq) - 5
     out = {}
     for base in "AGCT":
         for j in range(1, 7):
-            held = F.substr(seq, F.lit(j), F.greatest(windows, F.lit(0)))
-            out[f"{base.lower()}{j}"] = F.when(windows > 0, base_count(held, base) / windows)
+            ends = F.concat(F.left(seq, F.lit(j - 1)), F.right(seq, F.lit(6 - j)))
+            out[f"{base.lower()}{j}"] = (base_count(seq, base) - base_count(ends, base)) / F.when(windows > 0, windows)
     return out
 
 
