@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .operators import evaluate
 from .plans import classify
 from .sources import tables
 
@@ -58,6 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         forest.importances(spark).show(len(forest.features), truncate=False)
     elif a.command == "predict":
         preds, report = classify.predict(spark, a.infile, a.model, a.out, a.hits, a.orf_report, a.labels, a.min_len, a.qcov_hsp)
+        evaluate.class_summary(preds).orderBy("prediction").show()
         if report is not None:
             report.show(truncate=False)
     elif a.command == "predtoseq":

@@ -63,6 +63,8 @@ def test_build_predict_extract(spark, tmp_path, capsys):
     assert {x["seq_id"] for x in fasta.read_fasta(spark, p("out")).collect()} == {i for i, _ in pos[:5]}
     cli.main(["predtoseq", "-f", p("test.fa"), "-p", p("preds"), "-o", p("out2"), "-l", "0"])
     assert "matched" in capsys.readouterr().out
+    cli.main(["predict", "-i", p("test.fa"), "-m", p("model"), "-o", p("preds3"), "--hits", p("pos.tsv")])
+    assert "fraction" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["predict", "-m", "x"])
 
