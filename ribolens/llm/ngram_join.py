@@ -9,7 +9,8 @@ share min(l, l') prefix shingles and pass the length and position bounds before
 Only components are asked for, so pairs inside a group are not all made. Equal sets are one node, named by a 64-bit
 hash; a second one shows whether two sets share a name, and then all get others. First each list's most central node is compared with the others of its list, and what links becomes a component;
 then only pairs of different components are made, between the nodes outside a list's largest component and all of the
-list; these are all the pairs that can still join components, so the result is exact.
+list; these are all the pairs that can still join components, so the result is exact. Before whole sets travel, parity
+bits of both sets, which never differ in more places than the sets, take out the pairs that can't link.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ FEWER = 4
 REPORT = 3
 #: Shared shingles before its own that a row of the residual join carries.
 LAST = 4
+#: The fewest parity bits of a set; a larger one has at least as many as shingles.
+LEAST_BITS = 128
 #: The filter that spares unlinked documents the second reading has at most 2 ** FILTER_BITS bits.
 FILTER_BITS = 28
 
@@ -147,6 +150,20 @@ def node_of(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """For each remainder of the shingles by a power of two, if an odd number of them have it; a bit or two a shingle."""
+    size = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype("i8"), minlength=size) & 1
+    return np.packbits(odd.astype("u1")).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets alone, by their parity bits; the longer ones are folded."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(z, "u1").reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """The least overlap of a set of ``n`` with any set that it links with."""
     return -(-n * percent // 100)
@@ -204,17 +221,18 @@ def frequent_shingles(docs: DataFrame, top: int, shingle: int) -> tuple[np.ndarr
 
 
 def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: int, shingle: int, salt: int = 0) -> DataFrame:
-    """doc_id, at (a hash of doc_id), n, node and check (two hashes of the set; null if empty), l, prefix of each row."""
+    """doc_id, at (a hash of doc_id), n, node and check (two hashes of the set; null if empty), bits, l, prefix of each row."""
     held = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # at most FREQUENT shingles
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = held.value
         for batch in slices(batches):
-            n, nodes, ls, ps = [], [], [], []
+            n, nodes, bits, ls, ps = [], [], [], [], []
             for s in shingle_sets(raw(batch["text"]), shingle):
                 p, l = prefix(s, frequent, rank, percent) if len(s) else (s, 0)
                 n.append(len(s))
                 nodes.append(node_of(s, salt) if len(s) else (None, None))
+                bits.append(parity_bits(s) if len(s) else None)
                 ls.append(l)
                 ps.append(p.view("i8"))
             yield pa.record_batch({
@@ -223,11 +241,12 @@ def describe(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, percent: i
                 "n": pa.array(n, pa.int64()),
                 "node": pa.array([x for x, _ in nodes], pa.int64()),
                 "check": pa.array([x for _, x in nodes], pa.int64()),
+                "bits": pa.array(bits, pa.binary()),
                 "l": pa.array(ls, pa.int32()),
                 "prefix": pa.array(ps, pa.list_(pa.int64())),
             })
 
-    return docs.mapInArrow(freeing(work), "doc_id long, at long, n long, node long, check long, l int, prefix array<long>")
+    return docs.mapInArrow(freeing(work), "doc_id long, at long, n long, node long, check long, bits binary, l int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, salt: int) -> DataFrame:
@@ -257,6 +276,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, salt: int) -> DataFra
     return packed.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def _likely(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs that may link by the sizes and parity bits of their sets (``named``: node, n, bits)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = zip(*(batch[c].to_pylist() for c in ("n", "m", "x", "y")))
+            keep = [2 * percent * (n + m) <= (100 + percent) * (n + m - least_difference(x, y)) for n, m, x, y in rows]
+            yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
+
+    known = both_sides(pairs, named.select("node", F.struct("n", "bits").alias("known")), "known")
+    rows = known.select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.bits").alias("x"), F.col("y.bits").alias("y"))
+    return rows.mapInArrow(freeing(work), "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b: nodes) that link, by comparing their sets."""
 
@@ -341,11 +374,14 @@ def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int, frequen
     # no more than HOT times the number of shingles for each prefix entry
     held = lists(found, frequent[rank > max(HOT, size // HOT)].view("i8").tolist(), percent)
     hot = hot_keys(held, "token")
-    named = materialize(found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at")), "named")
+    nodes = held.select("node").distinct()
+    named = found.filter("node is not null").groupBy("node").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.first("bits").alias("bits"))
+    named = materialize(named.join(nodes, "node", "left_semi"), "named")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_likely(pairs, named, percent), "likely")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = _sets(docs, materialize(named.join(nodes, "node", "left_semi"), "wanted"), shingle, salt)
+        sets = _sets(docs, materialize(named.select("node", "at").join(nodes, "node", "left_semi"), "wanted"), shingle, salt)
         return materialize(_verify(pairs, sets, percent), "linked")
 
     # the centre of a list: the node with the fewest shingles of its own before the shared one
@@ -354,7 +390,6 @@ def links(docs: DataFrame, found: DataFrame, percent: int, shingle: int, frequen
     stars = materialize(_enough(near.filter((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))), "stars")
     first = linked(stars)
 
-    nodes = held.select("node").distinct()
     joined = nodes.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     now = materialize(held.join(joined, "node"), "joined")
     counts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))

@@ -130,6 +130,20 @@ def test_prefixes_share_enough():
             assert len(np.intersect1d(p, q)) >= min(l, m)
 
 
+def test_parity_bits_never_differ_more_than_the_sets():
+    import numpy as np
+
+    dice = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(dice.integers(0, 1 << 63, dice.choice([1, 5, 127, 129, 700])).astype("u8"))
+        b = np.concatenate([a[dice.random(len(a)) > dice.choice([0, 0.1, 0.6])], dice.integers(0, 1 << 63, dice.integers(0, 900)).astype("u8")])
+        x, y = ngram_join.parity_bits(a), ngram_join.parity_bits(np.unique(b)) if len(b) else ngram_join.parity_bits(a)
+        differ = len(np.setxor1d(a, b)) if len(b) else 0
+        assert ngram_join.least_difference(x, y) == ngram_join.least_difference(y, x) <= differ
+        bits = 8 * min(len(x), len(y))
+        assert ngram_join.least_difference(x, y) >= bits / 4 * (1 - np.exp(-2 * differ / bits)) - 8  # and they tell sets apart
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 400)] + [(500, 500), (600, 601), (601, 600)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
