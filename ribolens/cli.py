@@ -19,11 +19,16 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("-m", "--model", required=True)
         s.add_argument("--min_len", type=int, default=0)
         s.add_argument("--qcov_hsp", type=float, default=None, help="least coverage of a hit")
+        s.add_argument("-d", "--proteins", help="FASTA of proteins to search where there are no hit files")
     b, q = sub.choices["build"], sub.choices["predict"]
     for short, name in (("-p", "--pos"), ("-n", "--neg")):
         b.add_argument(short, name, required=True)
     b.add_argument("--pos_hits")
     b.add_argument("--neg_hits")
+    b.add_argument("--pos_orf")
+    b.add_argument("--neg_orf")
+    b.add_argument("-w", "--weights", help="table of hexamer weights for the ORF scorer")
+    b.add_argument("--learn_weights", action="store_true", help="learn the ORF scorer's weights from the two classes")
     b.add_argument("--no_hits", action="store_true")
     b.add_argument("--no_orf", action="store_true")
     b.add_argument("-k", "--num_trees", type=int, default=1000)
@@ -54,11 +59,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("ribolens").getOrCreate()
     if a.command == "build":
         columns = classify.Groups(orf=not a.no_orf, hits=not a.no_hits)
-        forest = classify.build(spark, a.pos, a.neg, a.model, columns, a.pos_hits, a.neg_hits, a.min_len, a.qcov_hsp, trees=a.num_trees, forests=a.forests, groups=a.groups)
+        forest = classify.build(spark, a.pos, a.neg, a.model, columns, a.pos_hits, a.neg_hits, a.min_len, a.qcov_hsp, a.pos_orf, a.neg_orf, a.weights, a.learn_weights, a.proteins, trees=a.num_trees, forests=a.forests, groups=a.groups)
         print(f"out-of-bag accuracy {forest.oob}")
         forest.importances(spark).show(len(forest.features), truncate=False)
     elif a.command == "predict":
-        preds, report = classify.predict(spark, a.infile, a.model, a.out, a.hits, a.orf_report, a.labels, a.min_len, a.qcov_hsp)
+        preds, report = classify.predict(spark, a.infile, a.model, a.out, a.hits, a.orf_report, a.labels, a.min_len, a.qcov_hsp, a.proteins)
         evaluate.class_summary(preds).orderBy("prediction").show()
         if report is not None:
             report.show(truncate=False)

@@ -124,14 +124,14 @@ def save(forest: Forest, spark: SparkSession, path: str) -> None:
     """The groups as Spark ML models, and the ordered features beside them."""
     for i, g in enumerate(forest.groups):
         g.write().overwrite().save(f"{path}/group-{i:04d}")
-    meta = json.dumps({"features": forest.features, "groups": len(forest.groups), "oob": forest.oob, "seed": forest.seed})
+    meta = json.dumps({"features": forest.features, "groups": len(forest.groups), "oob": forest.oob, "seed": forest.seed, "meta": forest.meta})
     spark.createDataFrame([(meta,)], T.StructType([T.StructField("value", T.StringType())])).coalesce(1).write.mode("overwrite").text(f"{path}/forest")
 
 
 def load(spark: SparkSession, path: str) -> Forest:
     meta = json.loads(spark.read.text(f"{path}/forest").first()[0])
     groups = [RandomForestClassificationModel.load(f"{path}/group-{i:04d}") for i in range(meta["groups"])]
-    return Forest(meta["features"], groups, meta["oob"], meta["seed"])
+    return Forest(meta["features"], groups, meta["oob"], meta["seed"], meta.get("meta", {}))
 
 
 __all__ = ["Forest", "assemble", "load", "predict", "save", "select_best", "sort_importances", "train", "train_best"]

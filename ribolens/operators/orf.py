@@ -34,6 +34,18 @@ def rule_weights(stop: float = -5.0, gc: float = 0.25) -> np.ndarray:
     return out
 
 
+def table_weights(rows: DataFrame) -> np.ndarray:
+    """Weights from a table (hexamer, weight); hexamers that it lacks weigh 0, of repeated ones the largest counts.
+
+    Rows that aren't six of LETTERS, or have no weight, are left out.
+    """
+    held = rows.select(F.upper("hexamer").alias("hexamer"), "weight").filter(F.rlike("hexamer", F.lit(f"^[{LETTERS}]{{6}}$")) & F.col("weight").isNotNull())
+    out = np.zeros(HEXAMERS)
+    for r in held.groupBy("hexamer").agg(F.max("weight").alias("weight")).collect():  # at most 5 ** 6 rows
+        out[hexamer_index(r["hexamer"])] = r["weight"]
+    return out
+
+
 def learn_weights(df: DataFrame, seq: str = "seq", label: str = "label", smoothing: float = 1.0) -> np.ndarray:
     """Log-odds of in-frame hexamers of coding against other sequences; counts cover every row, ACGT hexamers alone."""
 

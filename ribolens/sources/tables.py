@@ -76,6 +76,12 @@ def write_features(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(F.col("label").alias("Label"), F.col("seq_id").alias("seqid"), *columns).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def write_hexamer_weights(spark: SparkSession, weights: dict[str, float], path: str) -> None:
+    """The table that read_hexamer_weights() reads."""
+    rows = [(f"{w!r} {h}",) for h, w in weights.items()]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_hexamer_weights(spark: SparkSession, path: str) -> DataFrame:
     """hexamer, weight of a weight table: ``#`` lines, then ``weight hexamer``."""
     lines = spark.read.text(path).filter(~F.startswith(F.trim("value"), F.lit("#")) & (F.trim("value") != ""))

@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 from ribolens import cli
+from ribolens.operators import homology, joins, orf
 from ribolens.plans import catalogue, classify
-from ribolens.sources import fasta
+from ribolens.sources import fasta, tables
 from ribolens.streaming import scoring
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -75,3 +76,34 @@ def test_build_predict_extract(spark, tmp_path, capsys):
     assert spark.read.parquet(p("scored")).count() == 6
     with pytest.raises(ValueError):
         classify.predict(spark, p("test.fa"), p("model"))[0].count()
+
+
+def test_build_without_hit_files(spark, tmp_path, capsys):
+    random.seed(5)
+    seq = lambda w: "".join(random.choices("ACGT", w, k=random.randint(90, 150)))
+    pos, neg = [(f"p{i}", seq([1, 4, 4, 1])) for i in range(20)], [(f"n{i}", seq([4, 1, 1, 4])) for i in range(20)]
+    write(tmp_path / "pos.fa", pos)
+    write(tmp_path / "neg.fa", neg)
+    write(tmp_path / "test.fa", neg[:4] + pos[:4])
+    write(tmp_path / "db.fa", [(f"d{i}", homology.translate(s, 1).replace("*", "X")) for i, s in pos])
+    p = lambda x: str(tmp_path / x)
+    small = ["-k", "4", "--groups", "2", "--forests", "1"]
+    cli.main(["build", "-p", p("pos.fa"), "-n", p("neg.fa"), "-m", p("model"), "-d", p("db.fa"), "--learn_weights", *small])
+    cli.main(["predict", "-i", p("test.fa"), "-m", p("model"), "-o", p("preds"), "-d", p("db.fa")])
+    assert "fraction" in capsys.readouterr().out
+    got = {r["seq_id"]: r["prediction"] for r in tables.read_predictions(spark, p("preds")).collect()}
+    assert got == {**{i: 0 for i, _ in neg[:4]}, **{i: 1 for i, _ in pos[:4]}}
+
+    saved = orf.table_weights(tables.read_hexamer_weights(spark, p("model") + "/weights"))
+    learned = orf.learn_weights(joins.union_classes(fasta.read_fasta(spark, p("neg.fa")), fasta.read_fasta(spark, p("pos.fa"))))
+    assert saved.tolist() == learned.tolist() and saved.any()
+
+    for name, rows in (("pos.orf", pos), ("neg.orf", neg), ("all.orf", neg[:4] + pos[:4])):
+        (tmp_path / name).write_text("".join(f">{i} {{score={3.5 if i[0] == 'p' else -1} used=50}}\n" for i, _ in rows))
+    cli.main(["build", "-p", p("pos.fa"), "-n", p("neg.fa"), "-m", p("reports"), "--no_hits", "--pos_orf", p("pos.orf"), "--neg_orf", p("neg.orf"), *small])
+    preds, _ = classify.predict(spark, p("test.fa"), p("reports"), orf_report=p("all.orf"))
+    assert preds.count() == 8
+    with pytest.raises(ValueError):
+        classify.predict(spark, p("test.fa"), p("reports"))
+    with pytest.raises(ValueError):
+        classify.build(spark, p("pos.fa"), p("neg.fa"), p("x"), classify.Groups(hits=False), pos_orf=p("pos.orf"))
