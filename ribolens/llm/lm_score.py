@@ -5,36 +5,42 @@ with its count. These rows are dealt by ranges of a 64-bit hash; each range sums
 and joins the sums to the rows that asked, and each chunk gets its counts back. With them it looks up every word of its
 documents and sums the scores for each. Rows travel packed, a range of a chunk at a time, so that neither a frequent
 n-gram nor a long document weighs more than one entry for each chunk.
+
+Words and pairs are counted in one pass, each longer order in one of its own: an n-gram can only reach ``min_count`` where
+both (n-1)-grams in it do, so that a chunk names no others, and loses none. The chunks lie in buckets of one table, to which
+the counts come.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallel, raw, slices
+from .common import parallel, raw, shared_dir, slices
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
+ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Words of a chunk, and entries of a hash range, at which another one begins.
 CHUNK, RANGE = 1 << 20, 1 << 21
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight next to each other, so that the zeros of small numbers compress."""
-    return np.ascontiguousarray(x.view("u1").reshape(len(x), x.dtype.itemsize).T).tobytes()
+    """Bytes of equal weight next to each other, so that those of small numbers compress."""
+    return zstandard.compress(np.ascontiguousarray(x.view("u1").reshape(len(x), x.dtype.itemsize).T).tobytes(), 1)
 
 
 def unplanes(b: bytes, dtype: str) -> np.ndarray:
     n = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(n, -1).T).view(dtype).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), "u1").reshape(n, -1).T).view(dtype).reshape(-1)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,22 +111,52 @@ def _range(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _ask(n_ranges: int, order: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            for row in batch.to_pylist():
-                words, lengths = _unpack(row)
-                h, n = np.unique(np.concatenate([g for _, g in grams(words, lengths, order)]), return_counts=True)
-                ends = np.searchsorted(_range(h, n_ranges), np.arange(n_ranges + 1))
-                at = [r for r in range(n_ranges) if ends[r] < ends[r + 1]]
-                yield pa.record_batch({
-                    "range": pa.array(at, pa.int32()),
-                    "chunk": pa.array([row["chunk"]] * len(at), pa.int64()),
-                    "hashes": pa.array([planes(np.diff(h[ends[r] : ends[r + 1]], prepend=np.uint64(0))) for r in at], pa.binary()),
-                    "counts": pa.array([planes(n[ends[r] : ends[r + 1]].astype("u8")) for r in at], pa.binary()),
-                })
+def _asked(chunk: int, h: np.ndarray, n_ranges: int) -> dict:
+    """Rows, a range at a time, that ask for the counts of the n-grams ``h``."""
+    h, n = np.unique(h, return_counts=True)
+    ends = np.searchsorted(_range(h, n_ranges), np.arange(n_ranges + 1))
+    at = [r for r in range(n_ranges) if ends[r] < ends[r + 1]]
+    return {
+        "range": pa.array(at, pa.int32()),
+        "chunk": pa.array([chunk] * len(at), pa.int64()),
+        "hashes": pa.array([planes(np.diff(h[ends[r] : ends[r + 1]], prepend=np.uint64(0))) for r in at], pa.binary()),
+        "counts": pa.array([planes(n[ends[r] : ends[r + 1]].astype("u8")) for r in at], pa.binary()),
+    }
+
+
+def wanted(found: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], n: int, n_words: int, min_count: int) -> np.ndarray:
+    """Of each n-gram, whether both (n-1)-grams in it have ``min_count``; ``counts``: of those."""
+    by_end = np.zeros(n_words)
+    by_end[found[n - 2][0]] = counts[n - 2]
+    at = found[n - 1][0]
+    return (by_end[at] >= min_count) & (by_end[at - 1] >= min_count)
+
+
+def _known(found: list[tuple[np.ndarray, np.ndarray]], replies: pa.Table, n_words: int, low: int, high: int, min_count: int) -> list[np.ndarray]:
+    """Counts of the n-grams of a chunk, order by order: of ``low`` and under in one pass, then to ``high`` one by one."""
+    parts = sorted(zip(*(replies[c].to_pylist() for c in ("level", "range", "counts"))))
+    out: list[np.ndarray] = []
+    for level in range(low, high + 1):
+        sums = np.concatenate([np.zeros(0, "u8"), *(unplanes(c, "u8") for n, _, c in parts if n == level)])
+        some = found[:low] if level == low else found[level - 1 : level]
+        asked = [np.ones(len(g), bool) for _, g in some] if level == low else [wanted(found, out, level, n_words, min_count)]
+        all_ = np.unique(np.concatenate([g[ok] for (_, g), ok in zip(some, asked)]))
+        if len(sums) != len(all_):
+            raise ValueError("a chunk's counts are not those it asked for")
+        for (_, g), ok in zip(some, asked):
+            n = np.zeros(len(g))
+            n[ok] = sums[np.searchsorted(all_, g[ok])]
+            out.append(n)
+    return out
 
-    return work
+
+def _bucketed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, dealt by chunk, as a table of as many buckets in the shared folder: reading it by chunk needs no shuffle."""
+    spark = rows.sparkSession
+    n, name = parallel(spark), f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    rows.repartition(n, "chunk").write.format("parquet").bucketBy(n, "chunk").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,37 +208,54 @@ def score(docs: DataFrame, order: int = ORDER, rate: float = BACKOFF, min_count:
     Words are runs of digits, letters a-z and code points from U+0080 after lower-casing A-Z. The model is of ``docs``
     itself: S(w | context) = count(context w) / count(context) where count(context w) >= min_count, else rate * S(w |
     shorter context), down to count(w) / words. A document's first words have shorter contexts. A text that is null,
-    empty or without words has n_words 0 and null scores. Rows that repeat a doc_id each count and are each scored.
+    empty or without words has n_words 0 and null scores. Rows that repeat a doc_id, or have a null one, each count and are
+    each scored. A text of any length is read whole, in one chunk. Columns but doc_id and text are ignored; no rows give no
+    rows.
     """
-    chunks = materialize(_chunks(docs), "chunks")
+    chunks = _bucketed(_chunks(docs), "chunks")
     total, n_chunks = chunks.agg(F.sum("n"), F.count(F.lit(1))).first()
-    n_ranges = max(1, min(parallel(docs.sparkSession), max(1, n_chunks)), -(-(total or 0) * order // RANGE))
-    asked = chunks.select("chunk", "lengths", "words", "vocabulary").mapInArrow(_ask(n_ranges, order), "range int, chunk long, hashes binary, counts binary")
-    dealt = asked.repartition(max(n_ranges, parallel(docs.sparkSession)), "range").sortWithinPartitions("range")
-    replies = dealt.mapInArrow(_answer, "chunk long, range int, counts binary")
-    total = total or 0
+    total, low = total or 0, min(order, 2)
+    n_ranges = max(1, min(parallel(docs.sparkSession), n_chunks), -(-total * order // RANGE))
+    asks = "range int, chunk long, hashes binary, counts binary"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for row in batch.to_pylist():
+                words, lengths = _unpack(row)
+                yield pa.record_batch(_asked(row["chunk"], np.concatenate([g for _, g in grams(words, lengths, low)]), n_ranges))
+
+    def longer(n: int):
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            words, lengths = _unpack(row)
+            found = grams(words, lengths, n)
+            counts = _known(found, right, len(words), low, n - 1, min_count)
+            return pa.table(_asked(row["chunk"], found[n - 1][1][wanted(found, counts, n, len(words), min_count)], n_ranges))
+
+        return ask
+
+    def replies(asked: DataFrame, level: int) -> DataFrame:
+        dealt = asked.repartition(max(n_ranges, parallel(docs.sparkSession)), "range").sortWithinPartitions("range")
+        return dealt.mapInArrow(_answer, "chunk long, range int, counts binary").withColumn("level", F.lit(level))
+
+    held = replies(chunks.select("chunk", "lengths", "words", "vocabulary").mapInArrow(first, asks), low)
+    for n in range(low + 1, order + 1):
+        held = _bucketed(held, "counts")
+        held = held.unionByName(replies(chunks.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(longer(n), asks), n))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         words, lengths = _unpack(row)
         found = grams(words, lengths, order)
-        n_words = len(words)
-        value = np.zeros(0)
-        if n_words:
-            all_ = np.unique(np.concatenate([g for _, g in found]))
-            parts = sorted(zip(right["range"].to_pylist(), right["counts"].to_pylist()))
-            sums = np.concatenate([unplanes(c, "u8") for _, c in parts])
-            if len(sums) != len(all_):
-                raise ValueError("a chunk's counts are not those it asked for")
-            value = backoff(found, [sums[np.searchsorted(all_, g)].astype("f8") for _, g in found], total, n_words, rate, min_count)
+        value = backoff(found, _known(found, right, len(words), low, order, min_count), total, len(words), rate, min_count)
         ends = np.cumsum(lengths)
-        sums_ = np.array([value[e - n : e].sum() for e, n in zip(ends, lengths)])
+        sums = np.array([value[e - n : e].sum() for e, n in zip(ends, lengths)])
         some = lengths > 0
         return pa.table({
             "doc_id": pa.array(row["ids"], pa.int64()),
             "n_words": pa.array(lengths),
-            "log_score": pa.array(sums_, mask=~some),
-            "score": pa.array(sums_ / np.maximum(lengths, 1), mask=~some),
+            "log_score": pa.array(sums, mask=~some),
+            "score": pa.array(sums / np.maximum(lengths, 1), mask=~some),
         })
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(work, "doc_id long, n_words long, log_score double, score double")
+    return chunks.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(work, "doc_id long, n_words long, log_score double, score double")

@@ -84,13 +84,23 @@ OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ),
-g AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-one AS (SELECT b AS w, count(*) AS n FROM g GROUP BY b),
-two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b),
+g AS (
+  SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+),
+one AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
 total AS (SELECT count(*) AS n FROM g),
 s AS (
-  SELECT doc_id, CASE WHEN two.n >= 2 THEN ln(two.n / x.n) WHEN g.a IS NOT NULL THEN ln(0.4) + ln(y.n / total.n) ELSE ln(y.n / total.n) END AS v
-  FROM g JOIN one y ON y.w = g.b CROSS JOIN total LEFT JOIN one x ON x.w = g.a LEFT JOIN two ON two.a = g.a AND two.b = g.b
+  SELECT doc_id, CASE
+    WHEN three.n >= 2 THEN ln(three.n / ab.n)
+    WHEN bc.n >= 2 THEN ln(bc.n / y.n) + CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(x.n / total.n) + CASE WHEN g.b IS NULL THEN 0 WHEN g.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END
+  END AS v
+  FROM g JOIN one x ON x.c = g.c CROSS JOIN total LEFT JOIN one y ON y.c = g.b
+    LEFT JOIN two bc ON bc.b = g.b AND bc.c = g.c LEFT JOIN two ab ON ab.b = g.a AND ab.c = g.b
+    LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(avg(v), 6) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, len(w)
 """

@@ -16,7 +16,7 @@ def held(i):
     return i is None or zlib.crc32(str(i).encode()) % 5 == 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_backoff_against_brute_force(make, odd, order, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK", 400)
     monkeypatch.setattr(lm_score, "RANGE", 500)
