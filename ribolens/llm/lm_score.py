@@ -43,6 +43,16 @@ def unplanes(b: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), "u1").reshape(n, -1).T).view(dtype).reshape(-1)
 
 
+def places(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different values there are, and each one's place among them, in order; by one sort, not by searches."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    out = np.empty(len(h), "i8")
+    out[order] = np.cumsum(new) - 1
+    return int(new.sum()), out
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -101,9 +111,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    words = np.frombuffer(row["vocabulary"], "u8")[unplanes(row["words"], "u4")]
-    return words, unplanes(row["lengths"], "u4").astype("i8")
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words' hashes, the number of each word in them, the documents' lengths."""
+    return np.frombuffer(row["vocabulary"], "u8"), unplanes(row["words"], "u4"), unplanes(row["lengths"], "u4").astype("i8")
 
 
 def _range(h: np.ndarray, n: int) -> np.ndarray:
@@ -132,21 +142,26 @@ def wanted(found: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray],
     return (by_end[at] >= min_count) & (by_end[at - 1] >= min_count)
 
 
-def _known(found: list[tuple[np.ndarray, np.ndarray]], replies: pa.Table, n_words: int, low: int, high: int, min_count: int) -> list[np.ndarray]:
+def _known(found: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, ids: np.ndarray, replies: pa.Table, low: int, high: int, min_count: int) -> list[np.ndarray]:
     """Counts of the n-grams of a chunk, order by order: of ``low`` and under in one pass, then to ``high`` one by one."""
     parts = sorted(zip(*(replies[c].to_pylist() for c in ("level", "range", "counts"))))
     out: list[np.ndarray] = []
     for level in range(low, high + 1):
         sums = np.concatenate([np.zeros(0, "u8"), *(unplanes(c, "u8") for n, _, c in parts if n == level)])
-        some = found[:low] if level == low else found[level - 1 : level]
-        asked = [np.ones(len(g), bool) for _, g in some] if level == low else [wanted(found, out, level, n_words, min_count)]
-        all_ = np.unique(np.concatenate([g[ok] for (_, g), ok in zip(some, asked)]))
-        if len(sums) != len(all_):
+        if level == low:
+            n, place = places(np.concatenate([vocabulary, *(g for _, g in found[1:low])]))
+        else:
+            ok = wanted(found, out, level, len(ids), min_count)
+            n, place = places(found[level - 1][1][ok])
+        if len(sums) != n:
             raise ValueError("a chunk's counts are not those it asked for")
-        for (_, g), ok in zip(some, asked):
-            n = np.zeros(len(g))
-            n[ok] = sums[np.searchsorted(all_, g[ok])]
-            out.append(n)
+        sums = sums[place]
+        if level == low:
+            out += np.split(sums, np.cumsum([len(vocabulary), *(len(g) for _, g in found[1:low])])[:-1])
+            out[0] = out[0][ids]
+        else:
+            out.append(np.zeros(len(ok), "u8"))
+            out[-1][ok] = sums
     return out
 
 
@@ -164,11 +179,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(now: int, rows: list[tuple]) -> pa.RecordBatch:
         hashes = [np.cumsum(unplanes(h, "u8"), dtype="u8") for _, h, _ in rows]
-        all_, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        n, where = places(np.concatenate(hashes))
         del hashes
         counts = [unplanes(c, "u8") for _, _, c in rows]
         sizes = [len(c) for c in counts]
-        sums = np.bincount(where, np.concatenate(counts), len(all_)).astype("u8")
+        sums = np.bincount(where, np.concatenate(counts), n).astype("u8")
         back = np.split(sums[where], np.cumsum(sizes)[:-1])
         return pa.record_batch({
             "chunk": pa.array([c for c, _, _ in rows], pa.int64()),
@@ -221,16 +236,16 @@ def score(docs: DataFrame, order: int = ORDER, rate: float = BACKOFF, min_count:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                words, lengths = _unpack(row)
-                yield pa.record_batch(_asked(row["chunk"], np.concatenate([g for _, g in grams(words, lengths, low)]), n_ranges))
+                vocabulary, ids, lengths = _unpack(row)
+                yield pa.record_batch(_asked(row["chunk"], np.concatenate([g for _, g in grams(vocabulary[ids], lengths, low)]), n_ranges))
 
     def longer(n: int):
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            words, lengths = _unpack(row)
-            found = grams(words, lengths, n)
-            counts = _known(found, right, len(words), low, n - 1, min_count)
-            return pa.table(_asked(row["chunk"], found[n - 1][1][wanted(found, counts, n, len(words), min_count)], n_ranges))
+            vocabulary, ids, lengths = _unpack(row)
+            found = grams(vocabulary[ids], lengths, n)
+            counts = _known(found, vocabulary, ids, right, low, n - 1, min_count)
+            return pa.table(_asked(row["chunk"], found[n - 1][1][wanted(found, counts, n, len(ids), min_count)], n_ranges))
 
         return ask
 
@@ -245,9 +260,10 @@ def score(docs: DataFrame, order: int = ORDER, rate: float = BACKOFF, min_count:
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        words, lengths = _unpack(row)
-        found = grams(words, lengths, order)
-        value = backoff(found, _known(found, right, len(words), low, order, min_count), total, len(words), rate, min_count)
+        vocabulary, ids, lengths = _unpack(row)
+        found = grams(vocabulary[ids], lengths, order)
+        counts = [n.astype("f8") for n in _known(found, vocabulary, ids, right, low, order, min_count)]
+        value = backoff(found, counts, total, len(ids), rate, min_count)
         ends = np.cumsum(lengths)
         sums = np.array([value[e - n : e].sum() for e, n in zip(ends, lengths)])
         some = lengths > 0
