@@ -146,10 +146,6 @@ def tree_merge(found: DataFrame, keep: str = "max") -> DataFrame:
     shards, n_parts = parallel(spark), found.rdd.getNumPartitions()
     runs = materialize(found.mapInArrow(_runs(shards, sign, max(1, n_parts)), BLOCKS), "runs")
     last = runs.agg(F.max("run")).first()[0] or 0
-    while last:
-        dealt = runs.withColumn("run", F.shiftright("run", FAN_BITS)).repartition(shards, "shard", "run")
-        runs = dealt.sortWithinPartitions("shard", "run", "first").mapInArrow(_merge, BLOCKS)
-        last >>= FAN_BITS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +159,13 @@ def tree_merge(found: DataFrame, keep: str = "max") -> DataFrame:
                     "group_size": pa.array(e["n"].copy()),
                 })
 
-    return runs.mapInArrow(rows, "digest binary, size long, keep_id long, group_size long")
+    step = None  # the last round gives rows at once: no second Python worker beside the one that merges
+    while last:
+        dealt = (runs if step is None else runs.mapInArrow(step, BLOCKS)).withColumn("run", F.shiftright("run", FAN_BITS))
+        runs, step = dealt.repartition(shards, "shard", "run").sortWithinPartitions("shard", "run", "first"), _merge
+        last >>= FAN_BITS
+    final = rows if step is None else lambda batches: rows(_merge(batches))
+    return runs.mapInArrow(freeing(final), "digest binary, size long, keep_id long, group_size long")
 
 
 def exact_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
