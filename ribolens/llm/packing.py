@@ -59,22 +59,29 @@ def latin(text: str) -> bool:
 
 
 class Words(dict):
-    """Little-endian 32-bit ids, as bytes, of words that the tokenizer's pattern gives; kept for up to KNOWN words."""
+    """Little-endian 32-bit ids, as bytes, of words that the tokenizer's pattern gives; kept for up to KNOWN words.
+
+    When half of them are new, those asked for least recently go: the words of before, unless they were asked for again.
+    """
 
     LETTERS = byte_letters()
 
     def __init__(self, model):
         super().__init__()
         self.tokenize = model.tokenize
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            letters = word.replace(" ", self.LETTERS[32])
-        else:
-            letters = word.encode().decode("latin-1").translate(self.LETTERS)
-        found = _little([t.id for t in self.tokenize(letters)])
+        found = self.before.get(word)
+        if found is None:
+            if word.isascii() and word.isprintable():
+                letters = word.replace(" ", self.LETTERS[32])
+            else:
+                letters = word.encode().decode("latin-1").translate(self.LETTERS)
+            found = _little([t.id for t in self.tokenize(letters)])
         if len(word) <= 256:
-            if len(self) >= KNOWN:
+            if len(self) >= KNOWN // 2:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
